@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from .language import op9_language_id
+from .lines import OP6_SQL, op6_line_dedup
 from .near_dup import op10_minhash_near_dedup
+from .packing import op7_packing
+from .quality import OP1_SQL, op1_quality_rules
+from .secrets import op4_secret_scan
+from .token_output import op2_token_output
+from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_token_output": op2_token_output,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_line_dedup": OP6_SQL}
