@@ -1,10 +1,62 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate dedup, secret scan, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate dedup, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; ``run`` writes what a stage returns as
+Parquet and rereads it as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fenceline.llm import lines, near_dup, packing, quality, secrets
+from fenceline.llm.common import written
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.good(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that many sources share."""
+    return _counted(lines.without_shared_lines(docs)).select(*docs.columns)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return near_dup.deduplicated(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with ``[kind]`` in place of each secret."""
+    return _counted(secrets.redacted(docs)).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token pieces with their sequence and offset."""
+    return packing.packed_documents(docs, keep_ids=False)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_dup_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
+#: SQL can express neither the tokenizer nor the compressed sizes; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -217,6 +217,14 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their group; rows alike in id and text count once."""
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
+    same = F.xxhash64(text_col)
+    first = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return first.withColumn("__same", same).dropDuplicates([id_col, "__same"]).drop("__same")
+
+
 def _across(labelled: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, close) -> DataFrame | None:
     """Links between components that still meet in a bucket; None when no bucket holds two."""
     parts = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
