@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from fenceline.operators import dedup, detect, graph, ngrams, patterns, reports, splits, windows
+
+_MODULES = (dedup, ngrams, windows, graph, patterns, splits, detect, reports)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
