@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from fenceline.operators import dedup, detect, graph, ngrams, patterns, reports, splits, windows
+from fenceline.streaming import incremental
 
-_MODULES = (dedup, ngrams, windows, graph, patterns, splits, detect, reports)
+_MODULES = (dedup, ngrams, windows, graph, patterns, splits, detect, reports, incremental)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
