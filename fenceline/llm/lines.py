@@ -54,8 +54,8 @@ def _sized(lines: DataFrame) -> DataFrame:
     return F.broadcast(lines) if lines.count() <= BROADCAST_LINES else lines
 
 
-def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the shared lines cut from the text, and ``n_lines`` and ``n_removed``."""
+def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """``docs`` with the shared lines cut from the text, and with ``counts`` also ``n_lines`` and ``n_removed``, in place of any such columns."""
     names = docs.columns
     dropped = shared_lines(docs, text_col, site_col, min_sites, min_words)
     keyed = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(text_col).alias("__t1"), F.xxhash64(text_col, F.lit(1)).alias("__t2"))
@@ -70,7 +70,10 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lines = F.split(text_col, "\n")
     left = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains(F.col("__cut"), k)), "\n")
     out = keyed.join(hit, ["__t1", "__t2"], "left")
+    names = [c for c in names if not counts or c not in ("n_lines", "n_removed")]
     rest = [F.col(f"`{c}`") if c != text_col else F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left).alias(text_col) for c in names]
+    if not counts:
+        return out.select(*rest)
     return out.select(
         *rest,
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
