@@ -24,8 +24,8 @@ MIN_SITES, MIN_WORDS, LG_K, BROADCAST_LINES = 5, 3, 12, 50_000
 
 def _at_least(line: Column, words: int) -> Column:
     """Whether the line has so many words."""
-    ws, w = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-    return line.rlike(ws.join([w] * words))
+    ws, w = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]++"
+    return line.rlike(f"^{ws}*+" + f"{ws}++".join([w] * words))  # anchored and possessive: linear in the line's length
 
 
 def shared_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, margin: int = 1) -> DataFrame:
