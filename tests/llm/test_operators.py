@@ -282,8 +282,8 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)
 
 
-def test_toxicity_held_out(spark):
-    where = SF.replace("0.001", "0.01")
+def test_toxicity_held_out(spark):  # smaller tables have too few toxic labels to learn from
+    where = SF.replace("0.001", "0.1")
     rows = queries.QUERIES["op8_toxicity"](spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
     good = [r["score"] for r in rows if not r["toxic"]]
     bad = [r["score"] for r in rows if r["toxic"]]
