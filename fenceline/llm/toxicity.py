@@ -291,8 +291,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).select("id", "y")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= sample_chars)
-    got = texts.join(F.broadcast(chosen), "id").collect()  # bounded by per_class and sample_chars
-    got = sorted(((r["text"], r["y"]) for r in got), key=lambda r: (r[1], r[0]))[: 4 * per_class]
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    got = one.collect()  # a row an id: bounded by per_class and sample_chars
+    got = sorted(((r["text"], r["y"]) for r in got), key=lambda r: (r[1], r[0]))
     return fit([r[0] for r in got], [r[1] for r in got])
 
 
