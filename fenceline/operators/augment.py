@@ -58,11 +58,14 @@ def recomposed(rows: DataFrame, control: Column) -> DataFrame:
     return safe.select("seq", F.coalesce(moved, F.col("pos")).alias("pos"), "op")
 
 
-def independent_swap(rows: DataFrame, memory: Column, control: Column) -> DataFrame:
-    """(seq, lo): one pair of neighbours a sequence that can change places: no shared register, memory or control transfer."""
-    marked = rows.select("seq", "pos", "dest", "src", memory.alias("m"), control.alias("c"))
-    after = {k: F.lead(k).over(_seq()).alias(f"{k}2") for k in ("dest", "src", "m", "c")}
-    pairs = marked.select("*", *after.values()).where("src2 IS NOT NULL AND NOT c AND NOT c2 AND NOT (m AND m2)")
+def independent_swap(rows: DataFrame, load: Column, store: Column, control: Column) -> DataFrame:
+    """(seq, lo): one pair of neighbours a sequence that can change places.
+
+    Neither writes a register of the other or transfers control, and they are not a store and another memory access.
+    """
+    marked = rows.select("seq", "pos", "dest", "src", (load | store).alias("m"), store.alias("w"), control.alias("c"))
+    after = {k: F.lead(k).over(_seq()).alias(f"{k}2") for k in ("dest", "src", "m", "w", "c")}
+    pairs = marked.select("*", *after.values()).where("src2 IS NOT NULL AND NOT c AND NOT c2 AND NOT (m AND m2 AND (w OR w2))")
     differ = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(True))
     free = pairs.where(differ("dest", "src2") & differ("src", "dest2") & differ("dest", "dest2"))
     return free.groupBy("seq").agg(F.min_by("pos", F.struct(_chance("seq", "pos"), "pos")).alias("lo"))
@@ -95,7 +98,7 @@ QUERIES = {
     "noop_insertion": lambda s, d: with_noops(instructions(s, d)),
     "barrier_insertion": lambda s, d: with_barrier(instructions(s, d), F.col("op") == BRANCH, F.col("op") == LOAD, FENCE),
     "recompose_thirds": lambda s, d: recomposed(instructions(s, d), F.col("op").isin(BRANCH, RET)),
-    "independent_swap": lambda s, d: independent_swap(instructions(s, d), F.col("op").isin(LOAD, STORE), F.col("op").isin(BRANCH, RET, FENCE)),
+    "independent_swap": lambda s, d: independent_swap(instructions(s, d), F.col("op") == LOAD, F.col("op") == STORE, F.col("op").isin(BRANCH, RET, FENCE)),
     "cross_window_recombine": lambda s, d: recombined(instructions(s, d)),
 }
 _MD5 = f"md5('{SEED}|' || seq || '|' || pos)"
@@ -115,7 +118,7 @@ ORACLES = {
       SELECT seq, CASE WHEN pos < third THEN pos + third WHEN pos < 2 * third THEN pos - third ELSE pos END AS pos, op
       FROM ev JOIN t USING (seq) WHERE third > 0 AND seq NOT IN (SELECT seq FROM bad)""",
     "independent_swap": f"""WITH {EV} SELECT a.seq, arg_min(a.pos, md5('{SEED}|' || a.seq || '|' || a.pos)) AS lo FROM ev a JOIN ev b ON a.seq = b.seq AND b.pos = a.pos + 1
-      WHERE a.op NOT IN ('{BRANCH}', '{RET}', '{FENCE}') AND b.op NOT IN ('{BRANCH}', '{RET}', '{FENCE}') AND NOT (a.op IN ('{LOAD}', '{STORE}') AND b.op IN ('{LOAD}', '{STORE}'))
+      WHERE a.op NOT IN ('{BRANCH}', '{RET}', '{FENCE}') AND b.op NOT IN ('{BRANCH}', '{RET}', '{FENCE}') AND NOT (a.op IN ('{LOAD}', '{STORE}') AND b.op IN ('{LOAD}', '{STORE}') AND '{STORE}' IN (a.op, b.op))
         AND coalesce(a.dest <> b.src, true) AND coalesce(a.src <> b.dest, true) AND coalesce(a.dest <> b.dest, true) GROUP BY a.seq""",
     "cross_window_recombine": f"""WITH {EV}, w AS (SELECT seq, pos // {WIDTH} AS win, min(pos) AS lo, list(op ORDER BY pos) AS ops FROM ev GROUP BY ALL),
       k AS (SELECT seq, win, lo, ops, unnest(range(1, len(ops) - {BLOCK} + 2)) AS i FROM w WHERE len(ops) >= {BLOCK}),
