@@ -18,8 +18,9 @@ Plan
 
 Nothing is collected; joins on a class or a bucket are plain shuffles that adaptive execution can split when skewed.
 
-Defined results: null or empty text has an empty set and forms its own component. A null id is kept, with the
-component of its class's smallest non-null id (null when there is none). Repeated ids and rows count as copies.
+Defined results: null or empty text has an empty set, forms its own component and is kept. Of every other component
+one row is kept: that of the smallest id (nulls last), among these that of the smallest text hash. Its id is the
+component's, so a component whose rows all have a null id has a null one. Repeated ids and rows count as copies.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def _fingerprints(width: int, bands: int, rows: int):
                         h = mix(h ^ parts[:, r]) + numbers
                     marks.append(h.view(np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                ["id", "mark", "n_shingles", "set_key", "bands"],
             )
 
     return run
@@ -108,14 +109,18 @@ def _fingerprints(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
         for batch in batches:
             for texts in slices(batch.column(0), limit=SLICE_BYTES):
-                found = [x for x in shingle_sets(texts, width) if len(x)]
+                found = {_key(x): x for x in shingle_sets(texts, width) if len(x)}
+                keys = [k for k in found if k not in met]
+                met.update(keys)
+                found = [found[k] for k in keys]
                 if found:
                     flat = np.concatenate(found).view(np.int64)
                     at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                     yield pa.record_batch(
-                        [pa.array([_key(x) for x in found], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                        [pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
                         ["set_key", "shingles"],
                     )
 
@@ -162,6 +167,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _mark(id_col: str, text_col: str):
+    """Equal for rows alike in id and text, and never null."""
+    own = F.concat(F.lit(":"), F.col(id_col).cast("string"))
+    return F.concat(F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")), F.coalesce(own, F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -169,15 +180,18 @@ def near_duplicates(
 
     A pair at the threshold of 0.75 shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _marked(docs, id_col, text_col, width, percent, bands, rows).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, mark, n_shingles, component_id, kept), one row per input row."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _mark(id_col, text_col).alias("mark"))
     id_type = texts.schema["id"].dataType.simpleString()
-    prints = written(
-        texts.mapInArrow(_fingerprints(width, bands, rows), f"id {id_type}, n_shingles long, set_key binary, bands array<long>"), "prints"
-    )
+    schema = f"id {id_type}, mark string, n_shingles long, set_key binary, bands array<long>"
+    prints = written(texts.mapInArrow(_fingerprints(width, bands, rows), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
     full = prints.where("set_key is not null")
-    classes = written(
-        full.groupBy("set_key").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
-    )
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row"))
+    classes = written(full.groupBy("set_key").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select("set_key", "n", F.explode("bands").alias("band"))
     order = F.xxhash64("set_key", "band")  # another head in each band, so that a class meets several of its group
     heads = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "set_key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
@@ -190,10 +204,12 @@ def near_duplicates(
             .distinct(),
             "stars",
         )
-        wanted = classes.join(shared.select("set_key").distinct(), "set_key", "left_semi").select(F.col("first_id").alias("id")).distinct()
+        wanted = classes.join(shared.select("set_key").distinct(), "set_key", "left_semi").select("first.mark")
         sets = written(
-            texts.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets(width), "set_key binary, shingles array<long>"), "sets"
+            texts.join(wanted, "mark", "left_semi").select("text").mapInArrow(_sets(width), "set_key binary, shingles array<long>"), "sets"
         )
+        if not sets.groupBy("set_key").agg(F.count("*").alias("of")).where("of > 1").isEmpty():  # rows alike in id and text
+            sets = written(sets.dropDuplicates(["set_key"]), "sets")
         links = written(_confirmed(stars, sets, percent), "links")
         labels = components(links, "first")
         labelled = written(
@@ -205,16 +221,17 @@ def near_duplicates(
             labels = components(links.union(later), "all")
     else:
         labels = None
-    named = classes.select("set_key", "first_id")
+    named = classes.select("set_key", "first")
     if labels is not None:
         named = named.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-        tops = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        named = named.join(tops, "label")
-    else:
-        named = named.withColumn("component_id", F.col("first_id"))
-    out = prints.select("id", "n_shingles", "set_key").join(named.select("set_key", "component_id"), "set_key", "left")
-    out = out.select("id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        tops = named.groupBy("label").agg(F.min("first").alias("first"))
+        named = named.drop("first").join(tops, "label")
+    named = named.select("set_key", F.col("first.id").alias("component_id"), F.col("first.row").alias("first_row"))
+    out = prints.drop("bands").join(named, "set_key", "left")
+    alone = F.col("set_key").isNull()
+    return out.select(
+        "id", "mark", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("first_row"))).alias("kept")
+    )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -275,6 +275,26 @@ def test_deduplicated_keeps_one_of_each_group(spark, docs):
     assert edge.where("doc_id IN (4, 5)").count() == 1 and edge.columns == tricky(spark).columns
 
 
+def words_with(changed, size=200):
+    return " ".join(f"x{k}" if k in changed else f"w{k}" for k in range(size))
+
+
+def test_near_duplicates_through_null_ids(spark):
+    a, n, b = words_with(range(4)), words_with(()), words_with(range(196, 200))
+    far = [words_with(range(i, 200, 3)).replace("w", f"far{i}") for i in range(2)]
+    rows = [(1, a), (None, n), (2, b), (None, n), (None, far[0]), (None, far[0] + " tail"), (None, far[1]), (None, far[1]), (None, ""), (None, None)]
+    rows += [(1, a)]
+    schema = "doc_id long, text string"
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, schema), percent=95, bands=64, rows=2).collect()
+    apart = near_dup.near_duplicates(spark.createDataFrame([rows[0], rows[2]], schema), percent=95, bands=64, rows=2).collect()
+    assert {r["component_id"] for r in apart} == {1, 2}  # A and B are linked by the row without an id only
+    linked = [r for r in got if r["component_id"] is not None]
+    assert {r["component_id"] for r in linked} == {1} and len(linked) == 5
+    assert [r["doc_id"] for r in linked if r["kept"]] == [1]
+    assert sum(r["kept"] for r in got if r["n_shingles"] == 0) == 2
+    assert sum(r["kept"] for r in got if r["component_id"] is None and r["n_shingles"]) == 2  # one a group
+
+
 def test_language_held_out_accuracy(spark):
     where = SF.replace("0.001", "0.01")
     known = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "lang", F.length("text").alias("size"))
