@@ -236,10 +236,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, per
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their group; rows alike in id and text count once."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    same = F.xxhash64(text_col)
-    first = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return first.withColumn("__same", same).dropDuplicates([id_col, "__same"]).drop("__same")
+    kept = _marked(docs, id_col, text_col).where("kept").select(F.col("mark").alias("__mark")).distinct()
+    return docs.withColumn("__mark", _mark(id_col, text_col)).join(kept, "__mark", "left_semi").dropDuplicates(["__mark"]).select(*docs.columns)
 
 
 def _across(labelled: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, close) -> DataFrame | None:

@@ -295,6 +295,14 @@ def test_near_duplicates_through_null_ids(spark):
     assert sum(r["kept"] for r in got if r["component_id"] is None and r["n_shingles"]) == 2  # one a group
 
 
+def test_deduplicated_with_repeated_and_null_ids(spark):
+    one, near, other = words_with(()), words_with((0,)), words_with(()).replace("w", "v")
+    third, fourth = words_with(()).replace("w", "u"), words_with(()).replace("w", "t")
+    rows = [(7, one), (7, near), (3, other), (7, other + " tail"), (None, third), (None, third + " tail"), (None, fourth), (9, fourth + " tail")]
+    got = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"].split()[1][0]) for r in got) == [("3", "v"), ("7", "w"), ("9", "t"), ("None", "u")]
+
+
 def test_language_held_out_accuracy(spark):
     where = SF.replace("0.001", "0.01")
     known = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "lang", F.length("text").alias("size"))
