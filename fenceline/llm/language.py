@@ -7,8 +7,9 @@ them. A chunk's scores are K(chunk, landmarks) times a small weight matrix; as t
 presence matrices, landmarks times weights is multiplied once, and scoring is one matrix product a block of chunks.
 
 Training takes at most ``PER_LANGUAGE`` labelled rows a language, those of the smallest hashed ids (the documented
-bound); only their presence bits go to the driver. Every text is scored whole: chunks of ``CHUNK`` code points, whose
-scores are averaged by their length.
+bound), and of these every chunk, weighted by its share of the text; landmarks are chunks of different texts as long as
+there are enough. Presence bits pass through the driver a part of a sorted table at a time, so a text may have any
+length. Every text is scored whole: chunks of ``CHUNK`` code points, whose scores are averaged by their length.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
 """
@@ -16,13 +17,17 @@ Defined results: ``und`` with score 0 where the text is null or has no letter, o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 MAX_N, BITS, CHUNK, LANDMARKS, PER_LANGUAGE, RIDGE, BLOCK = 3, 14, 4096, 192, 300, 1e-2, 96
 HELD_MOD, HELD_REST = 4, 2
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,23 +90,29 @@ class Model:
         return [self.languages[b] if t else "und" for b, t in zip(best, total, strict=True)], np.where(total > 0, score, 0.0)
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """From (language, presence row) pairs."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
-    languages = sorted({r[0] for r in rows})
+def _unit(bits: list[bytes]) -> np.ndarray:
+    """Presence rows from packed bits, over the root of their sums."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+
+
+def fit(languages: list[str], landmarks: list[bytes], rows: Iterable[tuple[str, bytes, float]]) -> Model:
+    """From the packed presence bits of landmarks, and (language, packed bits, weight) of all training chunks."""
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
-    x = np.stack([r[1] for r in rows]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
-    y = np.array([[1.0 if r[0] == lang else -1.0 for lang in languages] for r in rows])
-    pick = np.random.default_rng(5).permutation(len(rows))[: min(LANDMARKS, len(rows))]
-    marks = x[pick]
+    marks = _unit(landmarks)
     kernel = (marks @ marks.T).astype(float)
     values, vectors = np.linalg.eigh(kernel)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks.T).astype(float) @ root
-    beta = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ y)
+    gram, right = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages)))
+    for part in batched(rows, BLOCK):
+        z = (_unit([bits for _, bits, _ in part]) @ marks.T).astype(float) @ root
+        y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _, _ in part])
+        weighted = z * np.array([w for _, _, w in part])[:, None]
+        gram += weighted.T @ z
+        right += weighted.T @ y
+    beta = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), right)
     return Model(languages, (marks.T @ (root @ beta).astype(np.float32)).astype(np.float32))
 
 
@@ -113,17 +124,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = rows.where(able).select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id").distinct()
     sample = rows.where(able).join(F.broadcast(chosen), "id", "left_semi").select("lang", "text")  # bounded by the limit above
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if parts := _parts(text):
-                    langs.append(lang)
-                    found.append(np.packbits(presence(parts[:1])[0] > 0).tobytes())
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "bits"])
-
-    got = sample.mapInArrow(bits, "lang string, bits binary").collect()
-    return fit([(r["lang"], np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(np.float32)) for r in got])
+                parts = _parts(text)
+                size = sum(map(len, parts))
+                raw = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+                turns = np.random.default_rng(raw).permutation(len(parts))  # which of a text's chunks is its first landmark
+                for i in range(0, len(parts), BLOCK):
+                    own = parts[i : i + BLOCK]
+                    n = len(own)
+                    found = np.packbits(presence(own) > 0, axis=1)
+                    columns = [[lang] * n, [x.tobytes() for x in found], [len(p) / size for p in own], turns[i : i + n].tolist(), [raw] * n]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "bits", "weight", "turn", "raw"])
+
+    kinds = (pa.string(), pa.binary(), pa.float64(), pa.int64(), pa.int64())
+    got = written(sample.mapInArrow(chunks, "lang string, bits binary, weight double, turn long, raw long"), "chunks")
+    languages = sorted(r["lang"] for r in got.select("lang").distinct().collect())
+    landmarks = got.orderBy("turn", F.xxhash64("raw"), "lang", "bits").limit(LANDMARKS).select("bits").collect()
+    rows = got.select("lang", "bits", "weight").orderBy("lang", "bits", "weight").toLocalIterator()
+    return fit(languages, [bytes(r["bits"]) for r in landmarks], ((r["lang"], bytes(r["bits"]), r["weight"]) for r in rows))
 
 
 def held_out(id_column):

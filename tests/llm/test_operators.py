@@ -310,6 +310,20 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)
 
 
+def sentences(letters, seed, size):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(size))
+
+
+def test_language_learns_behind_a_shared_header(spark):
+    header = sentences("abcdefg", 0, 1200)
+    assert len(header) > language.CHUNK
+    rows = [(i, (header + " " + sentences("qrstuvw", i, 4000)) if i % 2 else sentences("abcdefg", i, 300), "zz" if i % 2 else "aa") for i in range(80)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found, _ = model.scores([sentences("qrstuvw", 1000, 300), sentences("abcdefg", 1001, 300)])
+    assert found == ["zz", "aa"]
+
+
 def test_toxicity_held_out(spark):  # smaller tables have too few toxic labels to learn from
     where = SF.replace("0.001", "0.1")
     rows = queries.QUERIES["op8_toxicity"](spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
