@@ -7,7 +7,7 @@ them. A chunk's scores are K(chunk, landmarks) times a small weight matrix; as t
 presence matrices, landmarks times weights is multiplied once, and scoring is one matrix product a block of chunks.
 
 Training takes at most ``PER_LANGUAGE`` labelled rows a language, those of the smallest hashed ids (the documented
-bound), and of these every chunk, weighted by its share of the text; landmarks are chunks of different texts as long as
+bound; rows without a letter don't count, and of rows alike in id and language the smallest text does), and of these every chunk, weighted by its share of the text; landmarks are chunks of different texts as long as
 there are enough. Presence bits pass through the driver a part of a sorted table at a time, so a text may have any
 length. Every text is scored whole: chunks of ``CHUNK`` code points, whose scores are averaged by their length.
 
@@ -116,13 +116,19 @@ def fit(languages: list[str], landmarks: list[bytes], rows: Iterable[tuple[str,
     return Model(languages, (marks.T @ (root @ beta).astype(np.float32)).astype(np.float32))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on rows with a language whose crc32(id as text) mod 4 is not 2, at most ``per_language`` a language."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(id, lang, text): at most ``per_language`` rows a language, one an id, of those with a letter, a language and crc32(id as text) mod 4 other than 2."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    able = F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))
+    letter = F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")  # as _LETTER
+    able = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & letter)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(able).select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id").distinct()
-    sample = rows.where(able).join(F.broadcast(chosen), "id", "left_semi").select("lang", "text")  # bounded by the limit above
+    chosen = able.select("id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang")
+    return able.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # bounded by the limit above
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """Fits on ``training_rows``."""
+    sample = training_rows(docs, id_col, text_col, lang_col, per_language).select("lang", "text")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -324,6 +324,18 @@ def test_language_learns_behind_a_shared_header(spark):
     assert found == ["zz", "aa"]
 
 
+def test_language_sample_has_one_row_an_id_and_skips_letterless_texts(spark):
+    rows = [(i, sentences("abcdefg", i, 50), "aa") for i in range(40)] + [(1, sentences("abcdefg", i, 50), "aa") for i in range(100, 400)] + [(1, sentences("qrstuvw", 1, 50), "zz")]
+    rows += [(i, None if i % 2 else " 12 _ \n", "zz") for i in range(500, 900)] + [(i, sentences("qrstuvw", i, 50), "zz") for i in range(900, 920)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = defaultdict(list)
+    for r in language.training_rows(docs, per_language=10).collect():
+        got[r["lang"]].append(r["text"])
+    assert {k: len(v) for k, v in got.items()} == {"aa": 10, "zz": 10} and all(got["zz"])
+    assert language.training_rows(docs, per_language=1000).where("id = 1").count() == 2
+    assert language.train(docs, per_language=10).scores([sentences("qrstuvw", 2000, 50)])[0] == ["zz"]
+
+
 def test_toxicity_held_out(spark):  # smaller tables have too few toxic labels to learn from
     where = SF.replace("0.001", "0.1")
     rows = queries.QUERIES["op8_toxicity"](spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
