@@ -8,7 +8,8 @@ calibrated on the training texts.
 
 Training takes at most ``PER_CLASS`` labelled rows of each class and ``SAMPLE_CHARS`` characters a row (longer rows
 are not trained on): the rows of the smallest hashed ids whose crc32(id as text) mod 3 is not 1. Word vectors begin
-with the word's log odds; windows are first labelled as their text, then each toxic text by its highest windows.
+with the word's log odds; at most ``FIRST_WINDOWS``
+random windows are first labelled as their text, then each toxic text by its highest windows.
 
 Defined results: texts without words, null or empty ones too, get the score of a window of padding; without labels of
 both classes every score is 0.
@@ -27,6 +28,8 @@ from .common import LOWER, Texts, mix, slices, span_hashes, spans_where
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 32, 16, 8, 8, 8, 12
 PER_CLASS, SAMPLE_CHARS, MIN_DF, THRESHOLD, DECAY = 800, 20_000, 3, 0.7, 1e-5
+#: Random windows of the first turn of training, at most.
+FIRST_WINDOWS = 12_288
 HELD_MOD, HELD_REST = 3, 1
 
 _WORD = np.zeros(256, bool)
@@ -251,7 +254,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Network | None:
     of = y[win.owner]
     for turn in range(4):
         if turn == 0:
-            rows = rng.permutation(len(win.index))[:12288]
+            rows = rng.permutation(len(win.index))[:FIRST_WINDOWS]
         else:
             logits = net.window_logits(win)
             tops = np.array([win.first[k] + i for k in range(len(texts)) for i in np.argsort(-logits[win.first[k] : win.first[k + 1]], kind="stable")[: 1 if y[k] else 3]])

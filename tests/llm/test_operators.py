@@ -345,6 +345,10 @@ def test_toxicity_held_out(spark):  # smaller tables have too few toxic labels t
     assert above >= 0.95 * len(bad) * len(good)
 
 
+def test_toxicity_bounds_are_named():
+    assert toxicity.FIRST_WINDOWS == 12_288 and "FIRST_WINDOWS" in toxicity.__doc__
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
