@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fenceline.operators import augment, dedup, detect, features, graph, ngrams, patterns, reports, splits, subgraphs, windows
+from fenceline.operators import augment, dedup, detect, features, graph, listings, ngrams, patterns, reports, splits, subgraphs, windows
 from fenceline.streaming import incremental
 
-_MODULES = (dedup, ngrams, windows, graph, subgraphs, augment, patterns, splits, detect, reports, incremental, features)
+_MODULES = (dedup, ngrams, windows, graph, subgraphs, augment, patterns, splits, detect, reports, incremental, features, listings)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

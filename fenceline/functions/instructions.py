@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The first category whose pattern the lower-cased line matches is the line's; the order matters.
+# The first category whose pattern the lower-cased line matches is the line's; the order matters. ``nodes.node_category`` has the
+# fixed patterns, which miss timer reads, indirect ARM calls, unsigned x86 branches, x86 loads and sized x86 opcodes.
 CATEGORIES: tuple[tuple[str, str], ...] = (
-    ("FENCE", r"^(lfence|mfence|sfence|dsb|dmb|isb|csdb|sb|fence)\b"),
-    ("CACHE", r"^(clflush|clflushopt|clwb|prefetch\w*|prfm|dc|ic|cbo\.\w+)\b"),
-    ("TIMING", r"^(rdtsc|rdtscp|rdpmc)\b|\bcntvct"),
-    ("RET", r"^(ret|retq|retl|eret|iretq?)\b"),
+    ("FENCE", r"^(lfence|mfence|sfence|dsb|dmb|isb|csdb|cpuid|fence)\b|^sb$"),
+    ("CACHE", r"^(clflush|clflushopt|clwb|cldemote|invlpg|wbinvd|prefetch\w*|prfm|dc|ic|cbo\.\w+)\b"),
+    ("TIMING", r"^(rdtsc|rdtscp|rdpmc)\b|\b(cntvct|pmccntr)"),
+    ("RET", r"^(ret[qlw]?|eret|iretq?)\b"),
     ("CALL_INDIRECT", r"^(blr\b|callq?\s+\*|jalr\b)"),
     ("CALL", r"^(call|callq|bl|jal)\b"),
-    ("JUMP_INDIRECT", r"^(br\b|jmpq?\s+\*)"),
-    ("BRANCH_COND", r"^(b\.\w+|cbn?z|tbn?z|beq|bne|blt|bge|bltu|bgeu|j(?!mp)\w+)\b"),
+    ("JUMP_INDIRECT", r"^(br|jr)\b|^jmpq?\s+\*"),
+    ("BRANCH_COND", r"^(b\.\w+|cbn?z|tbn?z|b(eq|ne|lt|le|gt|ge|hs|lo|hi|ls|mi|pl|ltu|geu|eqz|nez)|j(?!mp)\w+)\b"),
     ("BRANCH_UNCOND", r"^(b|jmp|jmpq|j)\b"),
-    ("COMPARE", r"^(cmp|cmn|tst|test|ccmp)[bwlq]?\b"),
-    ("STACK", r"^(push|pop|enter|leave)[wlq]?\b"),
-    ("STORE", r"^(str|stp|stur|strb|strh|sb|sh|sw|sd)\b|^mov\w*\s+[^(\[]+,\s*-?\w*\("),
-    ("LOAD", r"^(ldr|ldp|ldur|ldrb|ldrh|ldrsw|lb|lh|lw|ld|lbu|lhu|lwu)\b|^mov\w*\s+-?\w*\([^)]*\)\s*,"),
+    ("COMPARE", r"^(cmp|cmn|tst|test|ccmp|ccmn|fcmp)[bwlq]?\b"),
+    ("STACK", r"^(push|pop)[wlq]?\b"),
+    ("STORE", r"^(str\w*|stp|stur\w*|stl\w*|stx\w*|stnp|sttr\w*|movnti|stos[bwdq]?|sb|sh|sw|sd)\b|^mov\w*\s+([^(\[]+,\s*-?\w*\(|(\w+ ptr )?\[)"),
+    ("LOAD", r"^(ldr\w*|ldp\w*|ldur\w*|lda\w*|ldx\w*|ldnp|ldtr\w*|lods[bwdq]?|lb|lh|lw|ld|lbu|lhu|lwu)\b|^mov\w*\s+(-?\w*\([^)]*\)\s*,|[^\[,]+,\s*(\w+ ptr )?\[)"),
     ("MOVE", r"^(mov|movz|movk|movn|lea|adr|adrp|li|la|mv|cmov)\w*\b"),
-    ("SHIFT", r"^(lsl|lsr|asr|ror|shl|shr|sal|sar|sll|srl|sra)[bwlqi]?\b"),
-    ("LOGIC", r"^(and|orr|eor|bic|or|xor|not|mvn|neg)[bwlqi]?\b"),
-    ("ARITHMETIC", r"^(add|sub|mul|madd|msub|imul|div|idiv|sdiv|udiv|inc|dec|adc|sbb)\w*\b"),
+    ("ARITHMETIC", r"^(add|sub|mul|madd|msub|imul|div|idiv|sdiv|udiv|inc|dec|adc|sbb|sbc|neg)\w*\b"),
+    ("LOGIC", r"^(and|orr|eor|orn|bic|or|xor|not|mvn)[bwlqi]?\b"),
+    ("SHIFT", r"^(lsl|lsr|asr|ror|rol|shl|shr|sal|sar|sll|srl|sra)[bwlqi]?\b"),
     ("NOP", r"^(nop|hint)\b"),
 )
-_REGISTER = r"%?\b(x[0-9]{1,2}|w[0-9]{1,2}|sp|xzr|wzr|r[0-9]{1,2}[dwb]?|[re]?[abcd]x|[re]?[sd]i|[re]?[sb]p|a[0-7]|s[0-9]{1,2}|t[0-6])\b"
 
 
 def normalized(line: Column, cut_hash: bool = False) -> Column:
@@ -48,9 +48,22 @@ def operands(line: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def _register_names() -> list[str]:
+    """Register names of ARM64, x86 and RISC-V, from the rules by which each architecture numbers and widens them."""
+    arm = [f"{kind}{n}" for kind in "xw" for n in range(31)] + ["sp", "wsp", "lr", "fp", "pc", "xzr", "wzr"]
+    named = [prefix + stem for stem in ("ax", "bx", "cx", "dx", "si", "di", "bp", "sp") for prefix in ("r", "e", "")]
+    numbered = [f"r{n}{width}" for n in range(8, 16) for width in ("", "d", "w", "b")]
+    riscv = ["zero", "ra", "gp", "tp", *(f"a{n}" for n in range(8)), *(f"s{n}" for n in range(12)), *(f"t{n}" for n in range(7))]
+    return [*dict.fromkeys(arm + named + numbered + riscv)]
+
+
+_REGISTERS = _register_names()
+
+
 def registers(line: Column) -> Column:
-    """Distinct registers in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(_REGISTER), F.lit(1)))
+    """Distinct registers in order of appearance: the words of a line that name one, with or without ``%``."""
+    words = F.split(F.regexp_replace(F.lower(line), "[^a-z0-9_.]+", " "), " ")
+    return F.array_distinct(F.filter(words, lambda w: w.isin(_REGISTERS)))
 
 
 def category(line: Column) -> Column:
@@ -92,12 +105,28 @@ def group_key(path: Column) -> Column:
     return F.when(cut != "", cut).otherwise(F.regexp_replace(base, r"\.[^.]*$", ""))
 
 
+# Labels that begin measurement code, lines that end a measurement.
+BOILERPLATE_LABEL = r"(?i)^\s*(_barrier:|_rd:|__mm_mfence:|__mm_lfence:|__mm_clflush:|__mm_clflushopt:)\s*$"
+MEASUREMENT = r"(?i)^\s*(dsb\s+ish|dsb\s+sy|mrs\s+|rdtsc|rdtscp)\b"
+
+
+def _through_last(flags: Column) -> Column:
+    """How many entries there are up to the last false one."""
+    back = F.array_position(F.reverse(flags), False).cast("int")
+    return F.when(back == 0, F.lit(0)).otherwise(F.size(flags) - back + 1)
+
+
 def stripped_tail(sequence: Column, keep: int = 3) -> Column:
-    """Without the trailing run of fences, timing reads and no-ops, but not below ``keep`` lines."""
-    kinds = F.transform(sequence, lambda x: F.when(category(x).isin("FENCE", "TIMING", "NOP"), 0).otherwise(1))
-    last = F.size(sequence) - F.array_position(F.reverse(kinds), 1).cast("int") + 1
-    body = F.when(F.array_contains(kinds, 1), F.slice(sequence, 1, F.greatest(last, F.lit(1)))).otherwise(sequence)
-    return F.when(F.size(body) < keep, sequence).otherwise(body)
+    """Cut at the first measurement label; then without the trailing measurement lines, no-ops and returns right after a measurement
+    line, then without ``add sp, sp,`` right after a barrier, but never under ``keep`` lines; unchanged where fewer would be left."""
+    label = F.array_position(F.transform(sequence, lambda x: x.rlike(BOILERPLATE_LABEL)), True).cast("int")
+    body = F.when(label > 0, F.slice(sequence, 1, F.greatest(label - 1, F.lit(0)))).otherwise(sequence)
+    before = lambda a, i: F.coalesce(F.get(a, i - 1), F.lit(""))
+    tail = F.transform(body, lambda x, i: x.rlike(MEASUREMENT) | x.rlike(r"(?i)^\s*nop\s*$") | (x.rlike(r"(?i)^\s*(ret|retq)\s*$") & before(body, i).rlike(MEASUREMENT)))
+    short = F.when(F.size(body) > keep, F.slice(body, 1, F.greatest(F.lit(keep), _through_last(tail)))).otherwise(body)
+    teardown = F.transform(short, lambda x, i: F.lower(x).rlike(r"^\s*add[ \t]sp, sp,") & F.lower(before(short, i)).rlike(r"^\s*(dsb|isb)"))
+    out = F.when(F.size(short) > keep, F.slice(short, 1, F.greatest(F.lit(keep), _through_last(teardown)))).otherwise(short)
+    return F.when((F.size(sequence) <= keep) | (F.size(out) < keep), sequence).otherwise(out)
 
 
 def nop_inserted(key: Column, sequence: Column, one_in: int = 10) -> Column:

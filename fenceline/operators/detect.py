@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from fenceline.operators.ngrams import ngrams
 from fenceline.operators.windows import anchored
 from fenceline.plans.analogs import BRANCH, EV, FENCE, LOAD, RET, STORE, instructions, read, word_lists
-
-#: A side of so many rows or fewer may be broadcast.
-SMALL_ROWS = 100_000
-
+from fenceline.plans.steps import settled
 
 def risk(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "CRITICAL").when(confidence >= 0.6, "HIGH").when(confidence >= 0.4, "MEDIUM").otherwise("LOW")
@@ -31,25 +28,32 @@ def detections(rows: DataFrame) -> DataFrame:
     return found.select("seq", "lo", "hi", kind.alias("type"), best.alias("confidence"))
 
 
-def suppressed(found: DataFrame, overlap: float = 0.5, most: int = 20) -> DataFrame:
-    """Greedy overlap suppression within each ``seq``: best first, dropped if it overlaps a kept span by more than ``overlap`` of the shorter.
+def suppressed(found: DataFrame, overlap: float = 0.5, most: int = 20, longest: int = 64) -> DataFrame:
+    """Greedy overlap suppression within each ``seq``: best first, dropped if it overlaps a kept span by more than ``overlap`` of the shorter; the best ``most`` stay.
 
-    The choice depends on all earlier ones, so a sequence is walked by one Python function; sequences are independent.
+    Done in rounds: a span that is better than all undecided spans it clashes with is kept, those it clashes with are
+    dropped. That is the greedy choice, without one task for a sequence. Clashes are an equi-join on stretches of
+    ``longest`` positions, the most a span may have. Spans alike in all columns count once.
     """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["confidence", "lo", "hi", "type"], ascending=[False, True, True, True])
-        kept: list[tuple[int, int]] = []
-        rows = []
-        for i, lo, hi in zip(group.index, group["lo"], group["hi"], strict=True):
-            if len(kept) >= most:
-                break
-            if all(min(hi, b) - max(lo, a) <= overlap * max(1, min(hi - lo, b - a)) for a, b in kept):
-                kept.append((lo, hi))
-                rows.append(i)
-        return group.loc[rows]
-
-    return found.groupBy("seq").applyInPandas(walk, found.schema)
+    order = [F.col("confidence").desc(), "lo", "hi", "type"]
+    spans = found.distinct().withColumn("rank", F.struct(-F.col("confidence"), "lo", "hi", "type"))
+    if not spans.where(F.col("hi") - F.col("lo") > longest).isEmpty():
+        raise ValueError(f"a span is longer than {longest}")
+    stretch = lambda: F.explode(F.sequence(F.floor(F.col("lo") / longest), F.floor(F.col("hi") / longest)))
+    a, b = spans.select("*", stretch().alias("part")).alias("a"), spans.select("*", stretch().alias("part")).alias("b")
+    shared = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
+    shorter = F.greatest(F.lit(1), F.least(F.col("a.hi") - F.col("a.lo"), F.col("b.hi") - F.col("b.lo")))
+    clash = (F.col("a.seq") == F.col("b.seq")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rank") < F.col("b.rank")) & (shared > F.lit(overlap) * shorter)
+    clashes = settled(a.join(b, clash).select(F.col("a.seq").alias("seq"), F.col("a.rank").alias("better"), F.col("b.rank").alias("worse")).distinct())
+    open_, kept = settled(spans.select("seq", "rank")), None
+    while not open_.isEmpty():
+        left = clashes.join(open_.withColumnRenamed("rank", "better"), ["seq", "better"], "left_semi")
+        wins = settled(open_.join(left.select("seq", F.col("worse").alias("rank")).distinct(), ["seq", "rank"], "left_anti"))
+        losers = clashes.join(wins.withColumnRenamed("rank", "better"), ["seq", "better"], "left_semi").select("seq", F.col("worse").alias("rank")).distinct()
+        kept = wins if kept is None else kept.unionByName(wins)
+        open_ = settled(open_.join(wins, ["seq", "rank"], "left_anti").join(losers, ["seq", "rank"], "left_anti"))
+    out = spans.drop("rank") if kept is None else spans.join(kept, ["seq", "rank"], "left_semi").drop("rank")
+    return out.withColumn("nth", F.row_number().over(Window.partitionBy("seq").orderBy(*order))).where(F.col("nth") <= most).drop("nth")
 
 
 def best_spans(found: DataFrame) -> DataFrame:
@@ -111,24 +115,41 @@ def best_matches(found: DataFrame) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def lcs_ratios(rows: DataFrame, longest: int = 50) -> DataFrame:
-    """(seq, ratio): longest common subsequence of a sequence's first and last ``longest`` operations, over the longer."""
+def traces(rows: DataFrame, longest: int = 50) -> DataFrame:
+    """(seq, ops): the first ``longest`` operations of each sequence; the cut comes before the list."""
+    few = rows.where(F.col("pos") < longest).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "op"))).alias("s"))
+    return few.select("seq", F.col("s.op").alias("ops"))
+
+
+def neighbours(lists: DataFrame) -> DataFrame:
+    """(a, b, x, y): each sequence's trace with that of the next number."""
+    left, right = lists.select(F.col("seq").alias("a"), F.col("ops").alias("x")), lists.select(F.col("seq").alias("b"), F.col("ops").alias("y"))
+    return left.join(right, F.col("b") == F.col("a") + 1)
+
+
+def prefix_length(x: Column, y: Column) -> Column:
+    """How many first entries two arrays share."""
+    same = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.coalesce(z["x"] == z["y"], F.lit(False)))
+    first = F.array_position(same, False).cast("int")
+    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+
+
+def lcs_ratios(pairs: DataFrame) -> DataFrame:
+    """(a, b, ratio): longest common subsequence of two traces over the longer one; traces are bounded, so a call is a small table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
-            for ops in part["ops"]:
-                a, b = list(ops[:longest]), list(ops[-longest:])
-                row = [0] * (len(b) + 1)
-                for x in a:
+            for x, y in zip(part["x"], part["y"], strict=True):
+                row = [0] * (len(y) + 1)
+                for u in x:
                     last = 0
-                    for j, y in enumerate(b, 1):
-                        last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-                out.append(round(row[-1] / max(1, len(a), len(b)), 6))
-            yield pd.DataFrame({"seq": part["seq"], "ratio": out})
+                    for j, v in enumerate(y, 1):
+                        last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
+                out.append(round(row[-1] / max(1, len(x), len(y)), 6))
+            yield pd.DataFrame({"a": part["a"], "b": part["b"], "ratio": out})
 
-    lists = rows.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "op"))).alias("s")).select("seq", F.col("s.op").alias("ops"))
-    return lists.mapInPandas(run, "seq long, ratio double")
+    return pairs.mapInPandas(run, "a long, b long, ratio double")
 
 
 def centroid_cosine(spark, sf_dir: str) -> DataFrame:
@@ -149,7 +170,8 @@ QUERIES = {
     "precision_recall_f1": lambda s, d: scores(votes(s, d)),
     "signature_cross_match": lambda s, d: signature_matches(word_lists(s, d), library(s, d)),
     "best_match": lambda s, d: best_matches(signature_matches(word_lists(s, d), library(s, d))),
-    "lcs_ratio": lambda s, d: lcs_ratios(instructions(s, d)),
+    "lcs_ratio": lambda s, d: lcs_ratios(neighbours(traces(instructions(s, d)))),
+    "prefix_match": lambda s, d: neighbours(traces(instructions(s, d))).select("a", "b", prefix_length(F.col("x"), F.col("y")).alias("n")),
     "centroid_cosine": centroid_cosine,
 }
 
@@ -187,6 +209,8 @@ ORACLES = {
       SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM r""",
     "signature_cross_match": f"{_SIG} SELECT * FROM m WHERE jaccard >= 0.01",
     "best_match": f"{_SIG} SELECT DISTINCT ON (id) id, item, jaccard FROM m WHERE jaccard >= 0.01 ORDER BY id, jaccard DESC, item",
+    "prefix_match": f"""WITH {EV}, p AS (SELECT x.seq AS a, y.seq AS b, x.pos, x.op = y.op AS same FROM ev x JOIN ev y ON y.seq = x.seq + 1 AND y.pos = x.pos WHERE x.pos < 50)
+      SELECT a, b, coalesce(min(pos) FILTER (NOT same), count(*)) AS n FROM p GROUP BY ALL""",
     "centroid_cosine": """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM v GROUP BY ALL),
       p AS (SELECT label, vec_id, sum(x * m) / sqrt(sum(x * x) * sum(m * m)) AS c FROM v JOIN m USING (label, dim) GROUP BY ALL) SELECT label, round(avg(c), 5) AS cosine FROM p GROUP BY label""",
 }

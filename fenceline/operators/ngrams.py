@@ -21,16 +21,16 @@ def sequences(spark, sf_dir: str) -> DataFrame:
 
 
 def entropy(counts: DataFrame, by: str) -> DataFrame:
-    """Shannon entropy in bits of the counts ``n`` within ``by``."""
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(by))
-    return counts.withColumn("p", share).groupBy(by).agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+    """Shannon entropy in bits of the counts ``n`` within ``by``: log2(N) - sum(n log2 n) / N, so no group's items meet in one task."""
+    n, total = F.col("n"), F.sum("n")
+    return counts.groupBy(by).agg(F.round(F.log2(total) - F.sum(n * F.log2(n.cast("double"))) / total, 6).alias("entropy"))
 
 
 def coverage(counts: DataFrame, by: str, k: int) -> DataFrame:
-    """Share of all occurrences that the ``k`` most frequent items make up."""
+    """Share of all occurrences that the ``k`` most frequent items make up; the rank's limit cuts each task's rows first."""
     order = Window.partitionBy(by).orderBy(F.col("n").desc(), "gram")
-    ranked = counts.withColumn("nth", F.row_number().over(order))
-    return ranked.groupBy(by).agg(F.round(F.sum(F.when(F.col("nth") <= k, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
+    tops = counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).groupBy(by).agg(F.sum("n").alias("top"))
+    return tops.join(counts.groupBy(by).agg(F.sum("n").alias("all")), by).select(by, F.round(F.col("top") / F.col("all"), 6).alias("coverage"))
 
 
 def counted(rows: DataFrame, n: int) -> DataFrame:
@@ -59,11 +59,12 @@ def delta_topk(rows: DataFrame, n: int, one, other, k: int) -> DataFrame:
 def divergences(rows: DataFrame, n: int, one, other) -> DataFrame:
     """Jaccard of the sets, cosine of the counts and Jensen-Shannon divergence (bits) of the shares."""
     s = sides(rows, n, one, other)
+    x, y = F.col("a").cast("double"), F.col("b").cast("double")
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
     return s.agg(
         F.round(F.sum(((F.col("a") > 0) & (F.col("b") > 0)).cast("int")) / F.count("*"), 6).alias("jaccard"),
-        F.round(F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))), 6).alias("cosine"),
+        F.round(F.sum(x * y) / F.sqrt(F.sum(x * x)) / F.sqrt(F.sum(y * y)), 6).alias("cosine"),
         F.round(F.sum(part("p") + part("q")) / 2, 6).alias("js"),
     )
 

@@ -72,7 +72,7 @@ def _near(ops: Column, first: str, then: str, reach: int) -> Column:
 
 
 def failure(rule: Rule, ops: Column) -> Column:
-    """The first reason why a window's array of operations fails ``rule``; null where it matches."""
+    """The first reason why a window's array of operations fails ``rule``, null where it matches: anti-pattern, sequence or length, nearness, counts."""
     no = F.lit(False)
     anti, count, near = no, no, no
     for op in rule.absent:
@@ -86,8 +86,7 @@ def failure(rule: Rule, ops: Column) -> Column:
         found = F.array_position(F.slice(ops, F.greatest(at, F.lit(0)) + 1, F.lit(reach)), op).cast("int")
         at = F.when((at < 0) | (found == 0), F.lit(-1)).otherwise(at + found)
     long = F.size(ops) > rule.longest if rule.longest is not None else no
-    out = F.when(anti, F.lit("anti_pattern")).when(long, F.lit("too_long")).when(count, F.lit("count")).when(near, F.lit("near"))
-    return out.when(at < 0, F.lit("sequence")) if rule.sequence else out
+    return F.when(anti, F.lit("anti_pattern")).when((at < 0) | long, F.lit("sequence")).when(near, F.lit("near")).when(count, F.lit("count"))
 
 
 def cut_windows(rows: DataFrame, size: int, step: int) -> DataFrame:
@@ -100,6 +99,7 @@ RULES = (
     Rule("branch_then_load", near=((BRANCH, LOAD, 6),), absent=(FENCE,)),
     Rule("store_then_load", near=((STORE, LOAD, 5),), counts=((LOAD, 2),)),
     Rule("dependent_load", near=((LOAD, LOAD, 5),), sequence=((BRANCH, 5), (LOAD, 5), (RET, 5))),
+    Rule("short", sequence=((LOAD, 10), (STORE, 10)), longest=9),
 )
 
 
@@ -110,6 +110,25 @@ def matched(rows: DataFrame, rules: tuple[Rule, ...] = RULES, size: int = 10, st
     return windows.select("seq", "lo", F.explode(each).alias("m")).select("seq", "lo", "m.rule", "m.reason")
 
 
+def hard_negatives(rows: DataFrame, rule: Rule = RULES[0], size: int = 12) -> DataFrame:
+    """(seq, lo): windows that look like the rule's gadget, a branch with memory within 12 or two loads within 8, yet fail the rule."""
+    ops = F.col("ops")
+    like = _near(ops, BRANCH, LOAD, 12) | _near(ops, BRANCH, STORE, 12) | _near(ops, LOAD, LOAD, 8)
+    return cut_windows(rows, size, size).where(like & failure(rule, ops).isNotNull()).select("seq", "lo")
+
+
+def minimal_windows(rows: DataFrame, rule: Rule = RULES[1], size: int = 10, step: int = 5) -> DataFrame:
+    """(seq, lo, left, right): for matching windows the greedy shortest part [left, right) that still matches, cut from the left first, then from the right."""
+    found = cut_windows(rows, size, step).where(failure(rule, F.col("ops")).isNull())
+    fits = lambda ops: failure(rule, ops).isNull()
+    lefts = F.array(*(fits(F.slice("ops", i + 1, size - i)) for i in range(size)))
+    gone = F.array_position(lefts, False).cast("int")
+    found = found.withColumn("left", F.when(gone == 0, F.lit(size)).otherwise(gone - 1) - 1)
+    rights = F.array(*(fits(F.slice("ops", F.col("left") + 1, F.greatest(F.lit(size - i) - F.col("left"), F.lit(0)))) for i in range(size)))
+    gone = F.array_position(rights, False).cast("int")
+    return found.select("seq", "lo", "left", (F.lit(size + 1) - F.when(gone == 0, F.lit(size)).otherwise(gone - 1)).alias("right"))
+
+
 QUERIES = {
     "unfenced_count": lambda s, d: unfenced(instructions(s, d), F.col("op") == LOAD, F.col("op") == FENCE),
     "call_ret_distance": lambda s, d: mean_distance(instructions(s, d), F.col("op") == BRANCH, F.col("op") == RET),
@@ -117,7 +136,8 @@ QUERIES = {
     "compare_branch_load": lambda s, d: contiguous(instructions(s, d), [STORE, BRANCH, LOAD]),
     "dsl_matches": lambda s, d: matched(instructions(s, d)).where("reason IS NULL").select("seq", "lo", "rule"),
     "dsl_failure_summary": lambda s, d: matched(instructions(s, d)).where("reason IS NOT NULL").groupBy("rule", "reason").agg(F.count("*").alias("n")),
-    "dsl_hard_negatives": lambda s, d: matched(instructions(s, d), RULES[:1], 12, 12).where("reason = 'anti_pattern'").select("seq", "lo"),
+    "dsl_hard_negatives": lambda s, d: hard_negatives(instructions(s, d)),
+    "minimal_window": lambda s, d: minimal_windows(instructions(s, d)),
 }
 _WIN = f"""WITH {EV}, w AS (SELECT a.seq, a.pos AS lo, list(b.op ORDER BY b.pos) AS ops FROM ev a JOIN ev b ON a.seq = b.seq AND b.pos BETWEEN a.pos AND a.pos + {{size}} - 1
   WHERE a.pos % {{step}} = 0 GROUP BY a.seq, a.pos HAVING count(*) = {{size}})"""
@@ -127,8 +147,11 @@ _REASONS = f"""{_WIN.format(size=10, step=5)}, p1 AS (SELECT *, coalesce(list_po
   p2 AS (SELECT *, CASE WHEN a = 0 THEN 0 ELSE coalesce(list_position(ops[a + 1:a + 5], '{LOAD}'), 0) END AS b FROM p1),
   p3 AS (SELECT *, CASE WHEN b = 0 THEN 0 ELSE coalesce(list_position(ops[a + b + 1:a + b + 5], '{RET}'), 0) END AS c FROM p2),
   m AS (SELECT seq, lo, 'branch_then_load' AS rule, CASE WHEN list_contains(ops, '{FENCE}') THEN 'anti_pattern' WHEN NOT ({_N1}) THEN 'near' END AS reason FROM w
-    UNION ALL SELECT seq, lo, 'store_then_load', CASE WHEN len(list_filter(ops, lambda x: x = '{LOAD}')) < 2 THEN 'count' WHEN NOT ({_N2}) THEN 'near' END FROM w
-    UNION ALL SELECT seq, lo, 'dependent_load', CASE WHEN NOT ({_N3}) THEN 'near' WHEN c = 0 THEN 'sequence' END FROM p3)"""
+    UNION ALL SELECT seq, lo, 'store_then_load', CASE WHEN NOT ({_N2}) THEN 'near' WHEN len(list_filter(ops, lambda x: x = '{LOAD}')) < 2 THEN 'count' END FROM w
+    UNION ALL SELECT seq, lo, 'dependent_load', CASE WHEN c = 0 THEN 'sequence' WHEN NOT ({_N3}) THEN 'near' END FROM p3 UNION ALL SELECT seq, lo, 'short', 'sequence' FROM w)"""
+_LIKE = " OR ".join(_NEAR.format(a=a, b=b, r=r) for a, b, r in ((BRANCH, LOAD, 12), (BRANCH, STORE, 12), (LOAD, LOAD, 8)))
+_PAIR = f"""EXISTS (SELECT 1 FROM x a JOIN x b ON a.seq = b.seq AND a.lo = b.lo AND b.i BETWEEN a.i + 1 AND a.i + 5 WHERE a.seq = s.seq AND a.lo = s.lo AND a.op = '{STORE}' AND b.op = '{LOAD}' AND a.i >= s.l AND b.i < s.r)
+  AND (SELECT count(*) FROM x a WHERE a.seq = s.seq AND a.lo = s.lo AND a.op = '{LOAD}' AND a.i >= s.l AND a.i < s.r) >= 2"""
 _L3 = "SELECT seq, pos, op, lead(op) OVER s AS o1, lead(op, 2) OVER s AS o2 FROM ev WINDOW s AS (PARTITION BY seq ORDER BY pos)"
 ORACLES = {
     "unfenced_count": f"""WITH {EV}, t AS (SELECT seq, pos, op, (SELECT max(pos) FROM ev b WHERE b.seq = a.seq AND b.pos < a.pos AND b.op = '{LOAD}') AS lt,
@@ -141,5 +164,8 @@ ORACLES = {
     "compare_branch_load": f"WITH {EV}, l AS ({_L3}) SELECT seq, pos FROM l WHERE op = '{STORE}' AND o1 = '{BRANCH}' AND o2 = '{LOAD}'",
     "dsl_matches": f"{_REASONS} SELECT seq, lo, rule FROM m WHERE reason IS NULL",
     "dsl_failure_summary": f"{_REASONS} SELECT rule, reason, count(*) AS n FROM m WHERE reason IS NOT NULL GROUP BY ALL",
-    "dsl_hard_negatives": f"{_WIN.format(size=12, step=12)} SELECT seq, lo FROM w WHERE list_contains(ops, '{FENCE}')",
+    "dsl_hard_negatives": f"{_WIN.format(size=12, step=12)} SELECT seq, lo FROM w WHERE ({_LIKE}) AND (list_contains(ops, '{FENCE}') OR NOT ({_N1}))",
+    "minimal_window": f"""{_WIN.format(size=10, step=5)}, x AS (SELECT seq, lo, unnest(ops) AS op, unnest(range(0, 10)) AS i FROM w),
+      s AS (SELECT seq, lo, l, r FROM w, range(0, 10) a(l), range(1, 11) b(r) WHERE l < r), k AS (SELECT seq, lo, l, r FROM s WHERE {_PAIR}),
+      f AS (SELECT seq, lo, max(l) AS l FROM k WHERE r = 10 GROUP BY ALL) SELECT seq, lo, l AS "left", min(k.r) AS "right" FROM f JOIN k USING (seq, lo, l) GROUP BY ALL""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fenceline.functions.instructions import normalized
 from fenceline.plans.analogs import read
 
 
@@ -19,18 +20,16 @@ def left_join_filtered(spark, sf_dir):
 
 
 def scan_stats(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    rows.createOrReplaceTempView("fenceline_scan")
-    return spark.sql("""SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(avg(l_quantity), 4) AS mean FROM fenceline_scan
-      GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""")
+    rows = _lines(spark, sf_dir).select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_quantity")
+    sets = [[F.col("flag")], [F.col("status")], []]
+    return rows.groupingSets(sets, "flag", "status").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean"))
 
 
 def normalized_lines(spark, sf_dir):
     """(page_id, line_number, line): page lines trimmed, cut at the first ``;``, without blanks, directives and labels."""
     pages = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line_number", "raw"))
-    line = F.regexp_replace(F.split_part(F.regexp_replace("raw", r"^[ \t\r]+|[ \t\r]+$", ""), F.lit(";"), F.lit(1)), r"[ \t\r]+$", "")
-    out = pages.select("page_id", "line_number", line.alias("line"))
-    return out.where((F.col("line") != "") & ~F.col("line").startswith(".") & ~F.col("line").endswith(":"))
+    out = pages.select("page_id", "line_number", normalized(F.col("raw")).alias("line"))
+    return out.where(F.col("line") != "")
 
 
 QUERIES = {

@@ -21,11 +21,23 @@ def capped(rows: DataFrame, cap: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap).drop("nth")
 
 
+def ranked(rows: DataFrame, by: str, seed: int = 42) -> DataFrame:
+    """``rows`` with ``nth``, the place from 1 within ``by`` in the order of md5(seed || id), and ``n``, the size of ``by``.
+
+    Rows are numbered within 4096 parts of the md5 and the parts' counts give each part's first number, so a value of
+    ``by`` may hold any share of all rows.
+    """
+    parts = rows.withColumn("chance", chance(seed)).withColumn("part", F.substring("chance", 1, 3))
+    counts = parts.groupBy(by, "part").agg(F.count("*").alias("c"))
+    own = Window.partitionBy(by).orderBy("part")
+    bases = counts.select(by, "part", (F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("base"), F.sum("c").over(Window.partitionBy(by)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy(by, "part").orderBy("chance", "id"))
+    return parts.withColumn("own", nth).join(bases, [by, "part"]).withColumn("nth", F.col("base") + F.col("own")).drop("chance", "part", "own", "base")
+
+
 def stratified(rows: DataFrame, share_percent: int = 20, seed: int = 42) -> DataFrame:
     """(id, label, split): ``share_percent`` of each label, rounded up, to test."""
-    n = F.count("*").over(Window.partitionBy("label"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(chance(seed), "id"))
-    return rows.select("id", "label", F.when(nth * 100 < n * share_percent + 100, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return ranked(rows, "label", seed).select("id", "label", F.when(F.col("nth") * 100 < F.col("n") * share_percent + 100, F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
 
 def grouped(rows: DataFrame, k: int = 4, cap: int = 10, seed: int = 42) -> DataFrame:
@@ -39,10 +51,11 @@ def grouped(rows: DataFrame, k: int = 4, cap: int = 10, seed: int = 42) -> DataF
 
 def balanced(rows: DataFrame, target: int, seed: int = 42) -> DataFrame:
     """(id, label, copy): exactly ``target`` rows a label; labels with fewer repeat rows in turn."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(chance(seed), "id"))
-    n = F.count("*").over(Window.partitionBy("label"))
-    copies = F.floor((F.lit(target) - nth) / n).cast("int")
-    return rows.select("id", "label", nth.alias("nth"), copies.alias("copies")).where(F.col("nth") <= target).select("id", "label", F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("copy"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(chance(seed), "id"))  # the limit below cuts each task's rows before the shuffle
+    few = rows.select("id", "label").withColumn("nth", nth).where(F.col("nth") <= target)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    copies = F.floor((F.lit(target) - F.col("nth")) / F.col("n")).cast("int")
+    return few.join(sizes, "label").select("id", "label", F.explode(F.sequence(F.lit(0), copies)).alias("copy"))
 
 
 def contrastive(rows: DataFrame) -> DataFrame:
@@ -56,13 +69,15 @@ def contrastive(rows: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> tuple[int, DataFrame]:
-    """Number of rows, and their places by id from 0: counts of range parts first, so no task sees all rows."""
-    bucket = F.floor(F.col("id") / 4096)
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "base")
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
-    placed = rows.withColumn("bucket", bucket).withColumn("own", own).join(before, "bucket")
-    return rows.count(), placed.select("id", "group", (F.col("base") + F.col("own")).alias("i"))
+    """Number of rows, and their places by id from 0: counts of range parts, and of parts of parts, so no task sees all rows."""
+    small, large = F.floor(F.col("id") / 4096), F.floor(F.col("small") / 4096)
+    counts = rows.groupBy(small.alias("small")).agg(F.count("*").alias("c")).withColumn("large", large)
+    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = counts.groupBy("large").agg(F.sum("c").alias("c")).select("large", before(Window.orderBy("large")).alias("top"))  # a row for 16 million ids
+    bases = counts.select("small", "large", before(Window.partitionBy("large").orderBy("small")).alias("base")).join(tops, "large")
+    own = F.row_number().over(Window.partitionBy("small").orderBy("id")) - 1
+    placed = rows.withColumn("small", small).withColumn("own", own).join(bases, "small")
+    return rows.count(), placed.select("id", "group", (F.col("top") + F.col("base") + F.col("own")).alias("i"))
 
 
 def class_weights(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Paths, chains, components and induced patterns of dependence graphs.
 
-Patterns are joins of edges. Paths, chains and components are of windows of ``width`` positions, so a Python call sees
-some tens of nodes, whatever a sequence's length.
+Patterns are joins of edges. Paths, chains and components are of windows (30 positions, every 15), whose graph is built of
+the window's own rows: a Python call sees some tens of nodes, whatever a sequence's length, and no edge of a window is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fenceline.operators.graph import _DATA, _NEXT, control, data_dependence, last_defs
 from fenceline.plans.analogs import BRANCH, EV, LOAD, STORE, instructions
 
-WIDTH, FAR, NEAR = 30, 15, 4
+WIDTH, STEP, LEAST, FAR, NEAR = 30, 15, 12, 15, 4
 
 
 def dependences(rows: DataFrame) -> DataFrame:
@@ -43,18 +43,31 @@ def induced(rows: DataFrame, edges: DataFrame, labels: list[str], wanted: set[tu
     return found.select("seq", *(f"n{k}" for k in range(len(labels))))
 
 
-def per_window(edges: DataFrame, work: Callable[[list], Iterator[tuple]], columns: str, width: int = WIDTH) -> DataFrame:
-    """What ``work`` yields for each window's edges (src, dst), with ``seq``; ``columns`` are longs."""
-    same = F.floor(F.col("src") / width) == F.floor(F.col("dst") / width)
-    grouped = edges.where(same).groupBy("seq", F.floor(F.col("src") / width).alias("win")).agg(F.collect_set(F.struct("src", "dst")).alias("e"))
-    names = ["seq", *columns.split()]
+def windowed(rows: DataFrame, width: int = WIDTH, step: int = STEP, least: int = LEAST) -> DataFrame:
+    """``rows`` once for each window that holds them, with ``seq`` the window's key ``seq:first`` and ``pos`` counted within it."""
+    total = F.count("*").over(Window.partitionBy("seq"))
+    own = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("pos") - (width - 1)) / step)), F.floor(F.col("pos") / step))
+    each = rows.withColumn("total", total).withColumn("k", F.explode(own)).withColumn("lo", F.col("k") * step).where(F.col("total") - F.col("lo") >= least)
+    return each.withColumn("pos", F.col("pos") - F.col("lo")).withColumn("seq", F.concat_ws(":", "seq", "lo")).drop("total", "lo", "k")
+
+
+def per_window(edges: DataFrame, work: Callable[[list], Iterator[tuple]], columns: str) -> DataFrame:
+    """What ``work`` yields for each ``seq``'s distinct edges (src, dst), with ``seq``; ``columns`` are longs. A ``seq`` is a window of bounded size."""
+    grouped = edges.groupBy("seq").agg(F.collect_set(F.struct("src", "dst")).alias("e"))
+    names, kind = columns.split(), edges.schema["seq"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(seq, *found) for seq, e in zip(part["seq"], part["e"], strict=True) for found in work([(x["src"], x["dst"]) for x in e])]
-            yield pd.DataFrame(rows, columns=names).astype("int64")
+            keys, rows = [], []
+            for seq, e in zip(part["seq"], part["e"], strict=True):
+                found = list(work([(x["src"], x["dst"]) for x in e]))
+                keys += [seq] * len(found)
+                rows += found
+            out = pd.DataFrame(rows, columns=names).astype("int64")
+            out.insert(0, "seq", keys)
+            yield out
 
-    return grouped.select("seq", "e").mapInPandas(run, ", ".join(f"{c} long" for c in names))
+    return grouped.select("seq", "e").mapInPandas(run, f"seq {kind}, " + ", ".join(f"{c} long" for c in names))
 
 
 def _paths(edges: list) -> Iterator[tuple]:
@@ -78,7 +91,7 @@ def _chain(edges: list) -> Iterator[tuple]:
     long = defaultdict(int)
     for a, b in sorted(edges, key=lambda e: e[1]):  # edges go forward, so positions are a topological order
         long[b] = max(long[b], long[a] + 1)
-    yield min(a for a, _ in edges) // WIDTH, max(long.values())
+    yield (max(long.values()),)
 
 
 def _components(edges: list) -> Iterator[tuple]:
@@ -115,27 +128,29 @@ def unbroken(rows: DataFrame) -> DataFrame:
 
 QUERIES = {
     "subgraph_match": lambda s, d: induced(instructions(s, d), dependences(instructions(s, d)), [LOAD, LOAD, STORE], {(0, 1), (1, 2)}),
-    "window_shortest_paths": lambda s, d: per_window(control(instructions(s, d)).unionByName(dependences(instructions(s, d))), _paths, "start node dist"),
-    "longest_def_use": lambda s, d: per_window(dependences(instructions(s, d)), _chain, "win longest"),
-    "window_components": lambda s, d: per_window(dependences(instructions(s, d)), _components, "node component"),
+    "window_shortest_paths": lambda s, d: per_window(control(windowed(instructions(s, d))).unionByName(dependences(windowed(instructions(s, d)))), _paths, "start node dist"),
+    "longest_def_use": lambda s, d: per_window(dependences(windowed(instructions(s, d))), _chain, "longest"),
+    "window_components": lambda s, d: per_window(dependences(windowed(instructions(s, d))), _components, "node component"),
     "branch_target_edges": lambda s, d: branch_targets(instructions(s, d)),
     "semantic_data_edges": lambda s, d: nearest_defs(instructions(s, d)),
     "broken_path_edges": lambda s, d: unbroken(instructions(s, d)),
 }
 _PAIRS = "e AS (SELECT DISTINCT seq, src, dst FROM dd)"
-_OWN = f"w AS (SELECT DISTINCT seq, src, dst FROM {{}} WHERE src // {WIDTH} = dst // {WIDTH})"
+_EVW = f"""{EV.replace('ev AS', 'e0 AS', 1)}, tot AS (SELECT seq, count(*) AS total FROM e0 GROUP BY seq), cut AS (SELECT seq, total, unnest(range(0, total, {STEP})) AS lo FROM tot),
+  ev AS (SELECT e0.seq || ':' || lo AS seq, pos - lo AS pos, op, dest, src FROM e0 JOIN cut ON e0.seq = cut.seq AND pos >= lo AND pos < lo + {WIDTH} WHERE total - lo >= {LEAST})"""
+_OWN = "w AS (SELECT DISTINCT seq, src, dst FROM {})"
 ORACLES = {
     "subgraph_match": f"""WITH {EV}, {_DATA}, {_PAIRS} SELECT x.seq, x.src AS n0, x.dst AS n1, y.dst AS n2 FROM e x JOIN e y ON x.seq = y.seq AND x.dst = y.src
       JOIN ev a ON a.seq = x.seq AND a.pos = x.src AND a.op = '{LOAD}' JOIN ev b ON b.seq = x.seq AND b.pos = x.dst AND b.op = '{LOAD}'
       JOIN ev c ON c.seq = x.seq AND c.pos = y.dst AND c.op = '{STORE}' WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.seq = x.seq AND z.src = x.src AND z.dst = y.dst)""",
-    "window_shortest_paths": f"""WITH RECURSIVE {EV}, {_DATA}, {_NEXT}, b AS (SELECT seq, src, dst FROM dd UNION SELECT seq, src, dst FROM nx), {_OWN.format('b')},
+    "window_shortest_paths": f"""WITH RECURSIVE {_EVW}, {_DATA}, {_NEXT}, b AS (SELECT seq, src, dst FROM dd UNION SELECT seq, src, dst FROM nx), {_OWN.format('b')},
       p AS (SELECT seq, src AS start, src AS node, 0 AS dist FROM w GROUP BY seq, src HAVING count(*) > 1
         UNION SELECT p.seq, start, dst, dist + 1 FROM p JOIN w ON w.seq = p.seq AND w.src = p.node WHERE dist < {FAR}),
       m AS (SELECT seq, start, node, min(dist)::BIGINT AS dist FROM p GROUP BY ALL) SELECT * FROM m WHERE dist >= {NEAR}""",
-    "longest_def_use": f"""WITH RECURSIVE {EV}, {_DATA}, {_OWN.format('dd')},
+    "longest_def_use": f"""WITH RECURSIVE {_EVW}, {_DATA}, {_OWN.format('dd')},
       p AS (SELECT seq, dst AS node, 1 AS n FROM w UNION SELECT p.seq, w.dst, n + 1 FROM p JOIN w ON w.seq = p.seq AND w.src = p.node)
-      SELECT seq, node // {WIDTH} AS win, max(n)::BIGINT AS longest FROM p GROUP BY ALL""",
-    "window_components": f"""WITH RECURSIVE {EV}, {_DATA}, {_OWN.format('dd')}, s AS (SELECT seq, src, dst FROM w UNION SELECT seq, dst, src FROM w),
+      SELECT seq, max(n)::BIGINT AS longest FROM p GROUP BY ALL""",
+    "window_components": f"""WITH RECURSIVE {_EVW}, {_DATA}, {_OWN.format('dd')}, s AS (SELECT seq, src, dst FROM w UNION SELECT seq, dst, src FROM w),
       p AS (SELECT seq, src AS node, src AS seen FROM s UNION SELECT p.seq, node, dst FROM p JOIN s ON s.seq = p.seq AND s.src = p.seen)
       SELECT seq, node, min(seen) AS component FROM p GROUP BY ALL""",
     "branch_target_edges": f"""WITH {EV} SELECT a.seq, a.pos AS src, min(b.pos) AS dst FROM ev a JOIN ev b ON a.seq = b.seq AND b.pos BETWEEN a.pos + 2 AND a.pos + 9

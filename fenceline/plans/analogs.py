@@ -48,11 +48,11 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines.where(F.trim("line") != "").select(
-        (F.col("doc_id") * 100_000 + F.col("at")).alias("id"), F.md5(F.lower(F.trim("line"))).alias("key"), F.col("source").alias("label")
+        (F.col("doc_id").cast("decimal(38,0)") * 2**31 + F.col("at")).alias("id"), F.md5(F.lower(F.trim("line"))).alias("key"), F.col("source").alias("label")
     )
 
 
-LINES = """lrec AS (SELECT doc_id * 100000 + nth - 1 AS id, md5(lower(trim(line, ' '))) AS key, source AS label
+LINES = """lrec AS (SELECT doc_id::DECIMAL(38,0) * 2147483648 + nth - 1 AS id, md5(lower(trim(line, ' '))) AS key, source AS label
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)
   WHERE trim(line, ' ') <> '')"""
 

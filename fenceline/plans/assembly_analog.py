@@ -15,7 +15,7 @@ ARM = (
     "ldr x1, [x0, #8]", "  ldr\tx2, [x3, x0, lsl #3]", "ldrb w4, [x1]", "str x1, [sp, #16]", "str x2, [x3]", "stp x29, x30, [sp, #-16]!", "ldp x29, x30, [sp], #16", "cmp x0, #16", "cmp x1, x2",
     "b.hs .L1", "b.lo .L2", "b.eq .L3", "b.ne .L1 ; again", "cbz x0, .L4", "tbnz w1, #3, .L2", "b .L5", "bl helper", "bl helper2", "blr x8", "br x9", "ret", "dsb sy", "isb", "dmb ish", "csdb", "dc civac, x0",
     "mrs x2, cntvct_el0", "eor x0, x0, x0", "lsl x1, x1, #6", "add x3, x3, x1", "sub sp, sp, #32", "add sp, sp, #32", "and x0, x0, #15", "adrp x4, table", "mov x5, x4", "mul x6, x5, x1", "nop", "", ".L1:", ".cfi_startproc",
-    "prfm pldl1keep, [x0]", "tlbi vae1, x0", "ldr x1, [x1]", "neg x0, x1", "brk #1", "ldrsw x7, [x6, w1, sxtw #2]", "ldr x2, [x3, #8] ; load", "svc #0",
+    "prfm pldl1keep, [x0]", "tlbi vae1, x0", "ldr x1, [x1]", "neg x0, x1", "brk #1", "ldrsw x7, [x6, w1, sxtw #2]", "ldr x2, [x3, #8] ; load", "svc #0", "_rd:",
 )
 X86 = (
     "movq (%rax,%rcx,8), %rdx", "\tmovl %eax, -12(%rbp)", "mov rax, [rbx+rcx*8]", "mov [rdi], rax", "movzbl (%rdi), %eax", "movq %rsp, %rbp", "cmpq $16, %rdi", "cmp eax, #16", "test rdi, rdi",
@@ -68,6 +68,10 @@ LISTING = f"""li AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user
 CODE = rf"""{LISTING}, tr AS (SELECT seq, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM li),
 co AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS pos, regexp_replace(split_part(line, ';', 1), '\s+$', '') AS line FROM tr
   WHERE line <> '' AND line NOT LIKE '.%' AND line NOT LIKE '%:')"""
-WINDOWS = f"""{CODE}, nn AS (SELECT seq, count(*) AS total FROM co GROUP BY seq),
-ws AS (SELECT seq, total, unnest(range(0, total, {STRIDE})) AS lo FROM nn),
-aw AS (SELECT ws.seq, lo, pos - lo AS i, line FROM ws JOIN co ON co.seq = ws.seq AND pos >= lo AND pos < lo + {SIZE} WHERE total - lo >= {LEAST})"""
+def windows_sql(rows: str = "co") -> str:
+    """``aw``: the windows of the relation ``rows``."""
+    return f"""nn AS (SELECT seq, count(*) AS total FROM {rows} GROUP BY seq), ws AS (SELECT seq, total, unnest(range(0, total, {STRIDE})) AS lo FROM nn),
+aw AS (SELECT ws.seq, lo, pos - lo AS i, line FROM ws JOIN {rows} r ON r.seq = ws.seq AND pos >= lo AND pos < lo + {SIZE} WHERE total - lo >= {LEAST})"""
+
+
+WINDOWS = f"{CODE}, {windows_sql()}"

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from fenceline import catalog
+from fenceline.operators import detect
+from fenceline.plans.analogs import instructions
 
 from .conftest import SF
 
@@ -33,17 +35,34 @@ def test_oracle(spark, con, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), columns)
 
 
-def test_suppression_leaves_no_large_overlap(spark):
-    kept = {}
-    for r in catalog.QUERIES["nms_filter"](spark, SF).collect():
-        kept.setdefault(r["seq"], []).append((r["lo"], r["hi"]))
-    for spans in kept.values():
-        assert len(spans) <= 20
-        for i, (a, b) in enumerate(spans):
-            for c, d in spans[i + 1 :]:
-                assert min(b, d) - max(a, c) <= 0.5 * max(1, min(b - a, d - c))
+def test_suppression_is_greedy(spark):
+    groups = {}
+    for r in catalog.QUERIES["detections"](spark, SF).distinct().collect():
+        groups.setdefault(r["seq"], []).append((-r["confidence"], r["lo"], r["hi"], r["type"]))
+    want = []
+    for seq, spans in groups.items():
+        kept = []
+        for worse, lo, hi, kind in sorted(spans):
+            if len(kept) < 20 and all(min(hi, b) - max(lo, a) <= 0.5 * max(1, min(hi - lo, b - a)) for _, a, b, _ in kept):
+                kept.append((worse, lo, hi, kind))
+        want += [(seq, lo, hi, kind) for _, lo, hi, kind in kept]
+    got = catalog.QUERIES["nms_filter"](spark, SF).collect()
+    assert sorted((r["seq"], r["lo"], r["hi"], r["type"]) for r in got) == sorted(want)
+    with pytest.raises(ValueError):
+        detect.suppressed(spark.createDataFrame([(1, 0, 99, "x", 0.5)], "seq long, lo long, hi long, type string, confidence double"))
 
 
-def test_lcs_ratio_range(spark):
-    rows = catalog.QUERIES["lcs_ratio"](spark, SF).collect()
-    assert rows and all(0 <= r["ratio"] <= 1 for r in rows)
+def test_lcs_is_brute_force(spark):
+    pairs = detect.neighbours(detect.traces(instructions(spark, SF))).collect()
+    got = {(r["a"], r["b"]): r["ratio"] for r in catalog.QUERIES["lcs_ratio"](spark, SF).collect()}
+
+    def longest(x, y):
+        table = {}
+        for i in range(len(x), -1, -1):
+            for j in range(len(y), -1, -1):
+                table[i, j] = 0 if i == len(x) or j == len(y) else 1 + table[i + 1, j + 1] if x[i] == y[j] else max(table[i + 1, j], table[i, j + 1])
+        return table[0, 0]
+
+    assert len(got) == len(pairs) > 0
+    for r in pairs:
+        assert got[r["a"], r["b"]] == round(longest(r["x"], r["y"]) / max(len(r["x"]), len(r["y"])), 6)
