@@ -42,7 +42,7 @@ def test_sequences(spark):
     seq = ["cmp x0, x1", "b.ge .L1", "nop", "ldr x2, [x3]", "dsb sy", "nop"]
     assert one(spark, I.trace(F.col("x")), x=seq) == "COMPARE BRANCH_COND LOAD FENCE"
     assert one(spark, I.stripped_tail(F.col("x")), x=seq) == seq[:4]
-    assert one(spark, I.stripped_tail(F.col("x")), x=["nop", "nop", "nop", "nop"]) == ["nop"] * 4
+    assert one(spark, I.stripped_tail(F.col("x")), x=["nop", "nop", "nop", "nop"]) == ["nop"] * 3  # trailing no-ops go while more than three lines are left
     assert one(spark, I.barrier_inserted(F.col("x")), x=seq) == [*seq[:3], "dsb sy", *seq[3:]]
     assert one(spark, I.barrier_inserted(F.col("x")), x=["ret"]) == ["ret"]
     assert one(spark, I.architecture(F.col("x")), x=seq) == "arm64"
@@ -101,3 +101,22 @@ def test_entry_and_contract(spark):
 
     assert entry.entry(spark).columns == ["id", "key", "label"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_mended_categories(spark):
+    want = {
+        "sb a0, 0(a1)": "STORE", "jr ra": "JUMP_INDIRECT", "cpuid": "FENCE", "wbinvd": "CACHE", "ldrsb w0, [x1]": "LOAD", "stlr x0, [x1]": "STORE", "mov eax, [rbx]": "LOAD", "mov dword ptr [rbx], eax": "STORE",
+        "neg x0, x1": "ARITHMETIC", "leave": "OTHER", "mrs x2, cntvct_el0": "TIMING", "blr x8": "CALL_INDIRECT", "jae .L1": "BRANCH_COND", "cmpl $1, %eax": "COMPARE", "sb": "FENCE",
+    }
+    for line, kind in want.items():
+        assert one(spark, I.category(F.col("x")), x=line) == kind, line
+
+
+def test_boilerplate(spark):
+    strip = lambda seq: one(spark, I.stripped_tail(F.col("x")), x=seq)
+    body = ["cmp x0, x1", "b.ge .L1", "ldr x2, [x3]", "add x1, x1, x2"]
+    assert strip([*body, "_rd:", "mrs x0, cntvct_el0", "ret"]) == body
+    assert strip([*body, "mrs x0, cntvct_el0", "ret"]) == body
+    assert strip([*body, "ret"]) == [*body, "ret"]
+    assert strip([*body, "isb", "add sp, sp, #32"]) == [*body, "isb"]
+    assert strip(["_barrier:", "a", "b", "c"]) == ["_barrier:", "a", "b", "c"]
