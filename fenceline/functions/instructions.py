@@ -21,7 +21,7 @@ CATEGORIES: tuple[tuple[str, str], ...] = (
     ("STACK", r"^(push|pop)[wlq]?\b"),
     ("STORE", r"^(str\w*|stp|stur\w*|stl\w*|stx\w*|stnp|sttr\w*|movnti|stos[bwdq]?|sb|sh|sw|sd)\b|^mov\w*\s+([^(\[]+,\s*-?\w*\(|(\w+ ptr )?\[)"),
     ("LOAD", r"^(ldr\w*|ldp\w*|ldur\w*|lda\w*|ldx\w*|ldnp|ldtr\w*|lods[bwdq]?|lb|lh|lw|ld|lbu|lhu|lwu)\b|^mov\w*\s+(-?\w*\([^)]*\)\s*,|[^\[,]+,\s*(\w+ ptr )?\[)"),
-    ("MOVE", r"^(mov|movz|movk|movn|lea|adr|adrp|li|la|mv|cmov)\w*\b"),
+    ("MOVE", r"^(mov\w*|lea[wlq]?|adrp?|li|la|mv|cmov\w*)\b"),
     ("ARITHMETIC", r"^(add|sub|mul|madd|msub|imul|div|idiv|sdiv|udiv|inc|dec|adc|sbb|sbc|neg)\w*\b"),
     ("LOGIC", r"^(and|orr|eor|orn|bic|or|xor|not|mvn)[bwlqi]?\b"),
     ("SHIFT", r"^(lsl|lsr|asr|ror|rol|shl|shr|sal|sar|sll|srl|sra)[bwlqi]?\b"),
