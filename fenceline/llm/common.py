@@ -8,11 +8,12 @@ object per word.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about this many bytes, which bounds a task's numpy arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -39,9 +40,12 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a local one of our own."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a local one; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share; the master is {master}")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'fenceline-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,6 +59,36 @@ def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+def trim() -> None:
+    """Gives freed memory of this worker back to the system; a worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    for base, have in list(_powers.items()):
+        if len(have) > 1 << 17:
+            del _powers[base]
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, with freed memory given back after every batch."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            trim()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(each(batches))
+        finally:
+            trim()
+
+    return go
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -237,7 +271,7 @@ class UnitEncoder:
     the time taken and nothing else.
     """
 
-    def __init__(self, encode, most: int = 1_500_000):
+    def __init__(self, encode, most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 MAX_N, BITS, CHUNK, LANDMARKS, PER_LANGUAGE, RIDGE, BLOCK = 3, 14, 4096, 192, 300, 1e-2, 96
 HELD_MOD, HELD_REST = 4, 2
@@ -145,7 +145,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "bits", "weight", "turn", "raw"])
 
     kinds = (pa.string(), pa.binary(), pa.float64(), pa.int64(), pa.int64())
-    got = written(sample.mapInArrow(chunks, "lang string, bits binary, weight double, turn long, raw long"), "chunks")
+    got = written(sample.mapInArrow(tidy(chunks), "lang string, bits binary, weight double, turn long, raw long"), "chunks")
     languages = sorted(r["lang"] for r in got.select("lang").distinct().collect())
     landmarks = got.orderBy("turn", F.xxhash64("raw"), "lang", "bits").limit(LANDMARKS).select("bits").collect()
     rows = got.select("lang", "bits", "weight").orderBy("lang", "bits", "weight").toLocalIterator()
@@ -168,7 +168,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, slices, vocabulary
+from .common import mix, powers, slices, tidy, vocabulary
 
 N_BEST, UNKNOWN, SPACE, SLICE = 4, 10.0, 0x2581, 6 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -364,7 +364,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, segmentations array<struct<score:double,ids:array<int>>>"
-    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab: str | None = None) -> DataFrame:
@@ -378,7 +378,7 @@ def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     picked = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidy(run), f"id {picked.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
 _DIGEST = "n_pieces long, score double, ids_crc32 long, n_found int, last_score double, nbest_crc32 long, round_trip boolean"
@@ -406,7 +406,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 yield pa.record_batch([batch.column(0), *columns], ["id", "n_pieces", "score", "ids_crc32", "n_found", "last_score", "nbest_crc32", "round_trip"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {_DIGEST}").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(run), f"id {texts.schema['id'].dataType.simpleString()}, {_DIGEST}").withColumnRenamed("id", id_col)
 
 
 def op3_sentencepiece_nbest(spark, sf_dir: str) -> DataFrame:

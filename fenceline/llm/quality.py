@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Texts, mix, shingles, slices, span_hashes
+from .common import IS_SPACE, Texts, mix, shingles, slices, span_hashes, tidy
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 SAMPLE_ROWS, SAMPLE_CHARS = 512, 50_000
@@ -188,7 +188,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
         .where((F.length("text") <= sample_chars) & (F.pmod(F.xxhash64("text"), F.lit(16)) == 0))
         .limit(sample_rows)
     )
-    seen = sample.mapInArrow(_measured(rules), "rule int, n long, cost double, bad double").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("bad").alias("bad"))
+    seen = sample.mapInArrow(tidy(_measured(rules)), "rule int, n long, cost double, bad double").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("bad").alias("bad"))
     worth = {r["rule"]: (r["bad"] + 0.5) / (r["cost"] + 1e-9) for r in seen.collect()}  # a row a rule
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k)))
 
@@ -217,7 +217,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, failed_rule string"
-    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -231,7 +231,7 @@ def good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
             if kept:
                 yield batch.take(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Texts, UnitEncoder, load_tokenizer, shared_dir, slices, spans_where, vocabulary
+from .common import IS_SPACE, Texts, UnitEncoder, load_tokenizer, shared_dir, slices, spans_where, tidy, vocabulary
 
 END_ID, STRIDE, STRIPE_BYTES = 0, 1000, 16 << 20
 _encoders: dict[str, UnitEncoder] = {}
@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = texts.schema["id"].dataType.simpleString()
     many = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = texts.repartitionByRange(many, "id").sortWithinPartitions("id")
-    done = spread.mapInArrow(_encoded(vocab or vocabulary("byte_bpe_50k.json"), end_id), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    done = spread.mapInArrow(tidy(_encoded(vocab or vocabulary("byte_bpe_50k.json"), end_id)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
     done.write.option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(STRIDE)).option(
         "orc.stripe.size", str(STRIPE_BYTES)
     ).option("orc.compress", "ZSTD").orc(path)
@@ -134,7 +134,7 @@ def token_index(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = tokens.select(F.col(id_col).alias("id"), "ids", F.col("_metadata.file_path").alias("file"))
     from .common import written
 
-    rows = written(rows.mapInArrow(_summed, f"id {kind}, file string, n_tokens long, ids_crc32 long"), "token-sums")
+    rows = written(rows.mapInArrow(tidy(_summed), f"id {kind}, file string, n_tokens long, ids_crc32 long"), "token-sums")
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("id").isNotNull().alias("n"), "id")).alias("least"), F.sum("n_tokens").alias("all"))
     before = Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))

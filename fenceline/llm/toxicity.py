@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, mix, slices, span_hashes, spans_where
+from .common import LOWER, Texts, mix, slices, span_hashes, spans_where, tidy
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS = 32, 16, 8, 8, 8, 12
 PER_CLASS, SAMPLE_CHARS, MIN_DF, THRESHOLD, DECAY = 800, 20_000, 3, 0.7, 1e-5
@@ -313,7 +313,7 @@ def scored(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_co
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
