@@ -10,8 +10,10 @@ Plan
    shingle on a circle, pi is read from there on, ``bands * rows`` places, and the smallest value for each place is a
    coordinate. A whole window of pi is one contiguous read, so all coordinates of a shingle cost one gather.
 2. Documents with equal sets collapse into a class at once, whatever their number.
-3. Buckets of each band: every class is paired with one class of the bucket only, another in each band; pairs are
-   confirmed on full sets and connected.
+3. Up to ``TURNS`` turns over the buckets of all bands: a bucket that still holds several components offers its other
+   classes the head of its largest one, which is the class with the most bucket mates in all bands (in a group of copies
+   most likely the text they come from). A class takes the head that most of its buckets offer and that it has not been
+   held against, so a turn tests one pair a class at most. Pairs are confirmed on full sets and connected.
 4. What then still shares a bucket across components is paired too, but for the pairs that cannot reach the threshold
    because of their sizes, or because too few of a class's shingles occur anywhere else among these candidates (both
    exact bounds). So a bucket is a star first and loses no link after.
@@ -33,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SLICE_BYTES, Texts, mix, shingles, slices, span_hashes, written
+from .common import LOWER, SLICE_BYTES, Texts, mix, shingles, slices, span_hashes, tidy, written
 
-WIDTH, PERCENT, BANDS, ROWS = 5, 75, 32, 4
+WIDTH, PERCENT, BANDS, ROWS, TURNS = 5, 75, 32, 4, 2
 #: Places on the circle that sigma maps to and pi permutes.
 CIRCLE = 1 << 20
 _pi: dict[int, np.ndarray] = {}
@@ -188,39 +190,37 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, per
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _mark(id_col, text_col).alias("mark"))
     id_type = texts.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, mark string, n_shingles long, set_key binary, bands array<long>"
-    prints = written(texts.mapInArrow(_fingerprints(width, bands, rows), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
+    prints = written(texts.mapInArrow(tidy(_fingerprints(width, bands, rows)), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
     full = prints.where("set_key is not null")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row"))
     classes = written(full.groupBy("set_key").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select("set_key", "n", F.explode("bands").alias("band"))
-    order = F.xxhash64("set_key", "band")  # another head in each band, so that a class meets several of its group
-    heads = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "set_key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = written(members.join(heads, "band").select("band", "set_key", "n", "head"), "shared")
+    heads = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(members.join(heads, "band").select("band", "set_key", "n", "size"), "met")
+    mates = shared.groupBy("set_key").agg(F.sum("size").alias("mates"))
+    shared = written(shared.drop("size").join(mates, "set_key"), "shared")
+    labels = None
     if not shared.isEmpty():
         close = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-        stars = written(
-            shared.where((F.col("set_key") != F.col("head.set_key")) & close(F.col("n"), F.col("head.n")))
-            .select(F.least("head.set_key", "set_key").alias("a"), F.greatest("head.set_key", "set_key").alias("b"))
-            .distinct(),
-            "stars",
-        )
         wanted = classes.join(shared.select("set_key").distinct(), "set_key", "left_semi").select("first.mark")
         sets = written(
-            texts.join(wanted, "mark", "left_semi").select("text").mapInArrow(_sets(width), "set_key binary, shingles array<long>"), "sets"
+            texts.join(wanted, "mark", "left_semi").select("text").mapInArrow(tidy(_sets(width)), "set_key binary, shingles array<long>"), "sets"
         )
         if not sets.groupBy("set_key").agg(F.count("*").alias("of")).where("of > 1").isEmpty():  # rows alike in id and text
             sets = written(sets.dropDuplicates(["set_key"]), "sets")
-        links = written(_confirmed(stars, sets, percent), "links")
-        labels = components(links, "first")
-        labelled = written(
-            shared.drop("head").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key")),
-            "labelled",
-        )
-        later = _across(labelled, classes, sets, percent, close)
+        labelled, tried = shared.withColumn("label", F.col("set_key")), None
+        for _ in range(TURNS):
+            pairs = written(_offers(labelled, tried, close), "stars")
+            if pairs.isEmpty():
+                break
+            found = written(_confirmed(pairs, sets, percent), "links")
+            tried = pairs if tried is None else tried.union(pairs)
+            if not found.isEmpty():
+                labels = _joined(labels, found)
+                labelled = _labelled(shared, labels)
+        later = _across(written(labelled, "labelled"), classes, sets, percent, close)
         if later is not None:
-            labels = components(links.union(later), "all")
-    else:
-        labels = None
+            labels = _joined(labels, later)
     named = classes.select("set_key", "first")
     if labels is not None:
         named = named.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
@@ -234,6 +234,37 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, per
     )
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after further links: only the components that they touch are connected anew."""
+    if labels is None:
+        return components(links, "turn")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
+    tops = components(between, "turn").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(nodes.withColumn("label", F.col("node")))
+    return written(every.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``shared`` with each class's component, itself where it has no link yet."""
+    return shared.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+
+
+def _offers(labelled: DataFrame, tried: DataFrame | None, close) -> DataFrame:
+    """(a, b): for each class that shares a bucket with another component at most one pair, with the head that most of its buckets offer, none of ``tried``."""
+    head = F.max(F.struct("mates", F.xxhash64("set_key").alias("o"), "set_key", "n")).alias("head")
+    parts = labelled.groupBy("band", "label").agg(F.count("*").alias("size"), head)
+    tops = parts.groupBy("band").agg(F.max(F.struct("size", "head", "label")).alias("top"), F.count("*").alias("n_labels"))
+    tops = tops.where("n_labels > 1").select("band", F.col("top.label").alias("main"), F.col("top.head").alias("head"))
+    own = labelled.join(tops, "band").where((F.col("label") != F.col("main")) & close(F.col("n"), F.col("head.n")))
+    offered = own.groupBy("set_key", F.col("head.set_key").alias("head")).agg(F.count("*").alias("times"))
+    offered = offered.withColumn("a", F.least("set_key", "head")).withColumn("b", F.greatest("set_key", "head"))
+    if tried is not None:
+        offered = offered.join(tried, ["a", "b"], "left_anti")
+    return offered.groupBy("set_key").agg(F.max(F.struct("times", "head", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their group; rows alike in id and text count once."""
     kept = _marked(docs, id_col, text_col).where("kept").select(F.col("mark").alias("__mark")).distinct()
