@@ -4,11 +4,13 @@ Base kinds, leftmost and non-overlapping within a kind, spans in code points wit
 password-like name, ``:`` or ``=``, and a value of 8+ characters; the span is the whole match), ``access`` (``AKIA``
 keys of 16+ characters) and ``hex`` (32+ characters of ``[0-9a-f]``).
 
-The method adds ``novel`` spans: dictionary-primed zstandard novelty. A candidate is a run of 20+ token characters with
-a letter and a digit that begins within 64 characters after a sensitive word and touches no base span. Its marginal
-size is what it adds to the compressed size of the 256 characters before it, under a dictionary of ordinary code
+The method adds ``novel`` spans: dictionary-primed zstandard novelty. A candidate is a run of token characters that
+begins within 64 characters after a sensitive word, or what follows the first sensitive word within a run; it has 20+
+characters, a letter and a digit, and touches no base span. Its marginal size is what it adds to the compressed size of the 256 characters before it, under a dictionary of ordinary code
 words; where that is ``novelty`` or more of its own length, nothing around it predicts it, and it is reported.
 
+Time is linear in the text: a run is a candidate once, whatever the words around it.
+
 Every byte of every text is looked at: the slice is searched for the words, ``AKIA`` and long hex runs as bytes, and
 texts with any of these are then matched in full. Defined results: null and empty texts have no spans.
 """
@@ -16,6 +18,7 @@ texts with any of these are then matched in full. Defined results: null and empt
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, slices, spans_where
+from .common import LOWER, Texts, slices, spans_where, tidy
 
 KINDS = ("assign", "access", "hex", "novel")
 NOVELTY, CONTEXT, REACH = 0.7, 256, 64
@@ -35,6 +38,7 @@ HEX = re.compile(r"[0-9a-f]+")
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "auth", "bearer", "credential", "private", "signature", "session")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.A | re.I)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 #: Ordinary words of code and configuration, which prime the dictionary.
 CODE_WORDS = (
@@ -71,21 +75,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Where a token run begins soon after a sensitive word, or goes on after one; at most one a run."""
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    out, k, last = [], 0, -REACH - 1
+    for m in _TOKEN.finditer(text) if words else ():
+        start, end = m.span()
+        while k < len(words) and words[k][1] <= start:
+            last = words[k][1]
+            k += 1
+        if start - last <= REACH:
+            out.append((start, end))
+        elif k < len(words) and words[k][1] <= end - LEAST:
+            out.append((words[k][1], end))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
-    taken = sorted((s, e) for _, s, e in base)
-    out, seen = [], set()
-    for word in _SENSITIVE.finditer(text):
-        for m in _TOKEN.finditer(text, word.end()):
-            s, e = m.span()
-            if s - word.end() > REACH:
-                break
-            if s in seen:
-                continue
-            seen.add(s)
-            if not (_LETTER.search(m[0]) and _DIGIT.search(m[0])) or any(a < e and s < b for a, b in taken):
-                continue
-            if marginal(text[max(0, s - CONTEXT) : s], m[0]) >= novelty:
-                out.append(("novel", s, e))
+    taken: list[list[int]] = []  # the base spans, joined where they touch
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    out = []
+    for s, e in candidates(text):
+        k = bisect_left(taken, [e])  # the spans that begin before the candidate's end
+        if k and taken[k - 1][1] > s:
+            continue
+        own = text[s:e]
+        if _LETTER.search(own) and _DIGIT.search(own) and marginal(text[max(0, s - CONTEXT) : s], own) >= novelty:
+            out.append(("novel", s, e))
     return out
 
 
@@ -131,7 +151,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nov
     """(``id_col``, spans) of each row."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, {_SCHEMA}"
-    return texts.mapInArrow(_scan(1, novelty, ["id", None]), schema).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(_scan(1, novelty, ["id", None])), schema).withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", novelty: float = NOVELTY) -> DataFrame:
@@ -156,7 +176,7 @@ def redacted(docs: DataFrame, text_col: str = "text", novelty: float = NOVELTY)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.record_batch(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
