@@ -10,10 +10,10 @@ from fenceline.plans.analogs import LINES, RECORDS, line_records, records
 
 def clean(rows: DataFrame, cap: int = 2) -> DataFrame:
     """Drops every key under more than one label; of the others keeps the first ``cap`` rows by id."""
-    labels = Window.partitionBy("key")
     order = Window.partitionBy("key").orderBy("id")
-    marked = rows.withColumn("lo", F.min("label").over(labels)).withColumn("hi", F.max("label").over(labels)).withColumn("nth", F.row_number().over(order))
-    return marked.where((F.col("lo") == F.col("hi")) & (F.col("nth") <= cap)).select("id", "key", "label")
+    few = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap)  # the limit cuts each task's rows before the shuffle
+    one = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi").select("key")
+    return few.join(one, "key", "left_semi").select("id", "key", "label")
 
 
 def majority(rows: DataFrame) -> DataFrame:
