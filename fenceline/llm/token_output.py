@@ -98,7 +98,7 @@ def _encoded(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = END_ID, files: int | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Writes (``id_col``, ids) in ascending id order to ORC files at ``path``."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     spread = texts.repartitionByRange(many, "id").sortWithinPartitions("id")
     done = spread.mapInArrow(tidy(_encoded(vocab or vocabulary("byte_bpe_50k.json"), end_id)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
     done.write.option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(STRIDE)).option(
-        "orc.stripe.size", str(STRIPE_BYTES)
+        "orc.stripe.size", str(stripe_bytes)
     ).option("orc.compress", "ZSTD").orc(path)
 
 

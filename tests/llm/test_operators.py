@@ -1,7 +1,9 @@
 """The corpus operators against brute force, round trips and edge rows."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -104,6 +106,51 @@ def test_token_files_of_edge_rows(spark, tmp_path):
     assert token_output.token_index(token_output.read_tokens(spark, path)).count() == len(texts)
 
 
+def scanned_rows(df):
+    """Rows that the scan of a collected plan gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, scans = [plan], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan"):
+            scans.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return sum(scans)
+
+
+def test_token_files_are_pruned_and_split(spark, tmp_path):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(6))).alias("text"))
+    path = f"file://{tmp_path}/t"
+    token_output.write_tokens(docs, path, files=1, stripe_bytes=200_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = token_output.read_tokens(spark, path).where("doc_id = 4321")
+        one.collect()
+        none = token_output.read_tokens(spark, path).where("doc_id = 9999")
+        none.collect()
+        assert 0 < scanned_rows(one) <= 2 * token_output.STRIDE and scanned_rows(none) == 0
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        parts = token_output.read_tokens(spark, path).select("doc_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.min("doc_id"), F.max("doc_id")).collect()
+        assert len(parts) > 1 and sum(r["n"] for r in parts) == 6000  # a stripe a task, none read twice
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_search_and_token_files_of_edge_rows(spark, tmp_path, empty):
+    docs = tricky(spark).where("false") if empty else tricky(spark)
+    found = search.top_k(docs, F.col("id") % 2 == 0, k=3).collect()
+    texts = {i: t for i, t in enumerate(TEXTS) if t and t.split()}
+    assert {r["query_id"] for r in found} == (set() if empty else {i for i in texts if i % 2 == 0})
+    assert all(r["rank"] <= 3 and r["score"] > 0 for r in found)
+    if empty:
+        token_output.write_tokens(docs, f"file://{tmp_path}/e")
+        assert token_output.token_index(token_output.read_tokens(spark, f"file://{tmp_path}/e")).count() == 0
+
+
 def test_nbest_is_brute_force():
     import sentencepiece
 
@@ -151,6 +198,64 @@ def test_secret_base_spans(docs, plain):
     assert secrets.redact("a password=abcdefgh1 b", secrets.find_spans("a password=abcdefgh1 b")) == "a [assign] b"
 
 
+def brute_spans(text):
+    """The base spans by a plain walk, and the candidates by a look at every run of token characters."""
+    base = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    for kind, first, rest, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("hex", "", "0123456789abcdef", 32)):
+        i = 0
+        while i < len(text):
+            j = i + len(first)
+            while text.startswith(first, i) and j < len(text) and text[j] in rest:
+                j += 1
+            if text.startswith(first, i) and j > i + len(first):
+                if j - i >= least:
+                    base.append((kind, i, j))
+                i = j
+            else:
+                i += 1
+    base.sort(key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+    ends = [i + len(w) for w in secrets.SENSITIVE for i in range(len(text)) if text[i : i + len(w)].lower() == w]
+    found, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-":
+            j += 1
+        if j - i >= 20:
+            inside = sorted(e for e in ends if i < e <= j)
+            if any(0 <= i - e <= secrets.REACH for e in ends):
+                found.append((i, j))
+            elif inside and j - inside[0] >= 20:
+                found.append((inside[0], j))
+        i = max(j, i + 1)
+    return base, found
+
+
+def test_secret_spans_are_brute_force(docs, plain):
+    rng = random.Random(9)
+    parts = ["password", "secret", ": ", " = ", '"', "token", "API_KEY", "apikey=", "AKIA", "QWERTYUIOP123456", "0123456789abcdef", "zZ9kQw3LmN8pRt5vYb2c", " ", "\n", "Private ", "é", "x" * 25, "word ", "=", "."]
+    texts = [*plain.values(), *("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    for text in texts:
+        base, near = brute_spans(text)
+        got = secrets.find_spans(text)
+        assert [x for x in got if x[0] != "novel"] == base
+        clear = [(s, e) for s, e in near if not any(a < e and s < b for _, a, b in base)]
+        want = [(s, e) for s, e in clear if re.search("[A-Za-z]", text[s:e]) and re.search("[0-9]", text[s:e]) and secrets.marginal(text[max(0, s - 256) : s], text[s:e]) >= secrets.NOVELTY]
+        assert [(s, e) for k, s, e in got if k == "novel"] == want
+    for r in queries.QUERIES["op4_secret_scan"](docs.sparkSession, SF).collect():
+        base, _ = brute_spans(plain[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in base) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def test_secret_scan_is_linear():
+    took = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        assert secrets.find_spans("token " * n) == [] and secrets.find_spans("tokens" * n) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_search_is_brute_force(docs, plain):
     words = {i: defaultdict(int) for i in plain}
     for i, t in plain.items():
@@ -162,9 +267,9 @@ def test_search_is_brute_force(docs, plain):
     for w in words.values():
         for x in w:
             df[x] += 1
-    for shards in (10_000, 37):
+    for postings in (10_000_000, 9_000):
         got = defaultdict(list)
-        for r in search.top_k(docs, F.col("id") % 50 == 0, shard_docs=shards, block_queries=2).orderBy("query_id", "rank").collect():
+        for r in search.top_k(docs, F.col("id") % 50 == 0, shard_postings=postings, block_terms=500).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["doc_id"], r["score"]))
         for q in (i for i in words if i % 50 == 0):
             every = []
@@ -177,13 +282,29 @@ def test_search_is_brute_force(docs, plain):
             assert {i for i, s in want if s > want[-1][1] + 1e-5} <= {i for i, _ in got[q]}
 
 
-def test_block_bounds_leave_blocks_out():
+def test_bounds_leave_documents_out():
     rng = np.random.default_rng(0)
-    sizes = np.full(2000, 5)
-    terms = np.concatenate([np.sort(rng.choice(5000, 5, replace=False)) for _ in range(2000)])
-    shard = search.Shard(np.full(2000, 5), terms, np.ones(len(terms)), sizes, 5.0)
-    _, scores, blocks = shard.search(terms[:5], np.full(5, 6.0), 1)
-    assert blocks < shard.n_blocks and scores.max() == pytest.approx(30.0)
+    sizes = rng.integers(5, 40, 3000)
+    lists = [np.unique(np.floor(400 * rng.random(n) ** 3).astype(np.int64)) for n in sizes]
+    sizes = np.array(list(map(len, lists)))
+    terms, tf = np.concatenate(lists), rng.integers(1, 4, sizes.sum())
+    lengths = np.add.reduceat(tf, np.cumsum(sizes) - sizes)
+    shard = search.Shard(lengths, terms, tf, sizes, float(lengths.mean()))
+    df = np.bincount(terms, minlength=400)
+    idf = search._idf(3000, df)
+    at, fewest = np.concatenate(([0], np.cumsum(sizes))), 3000
+    for q in range(0, 3000, 100):
+        asked = lists[q]
+        rows, scores, scored = shard.search(asked, idf[asked], 10)
+        weight = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * np.repeat(lengths, sizes) / lengths.mean()))
+        every = np.round(np.add.reduceat(np.where(np.isin(terms, asked), idf[terms] * weight, 0), at[:-1]), 6)
+        floor = np.sort(every)[-10]
+        want = {i: every[i] for i in np.flatnonzero((every >= floor) & (every > 0))}
+        assert set(rows.tolist()) == set(want) and scores == pytest.approx([want[i] for i in rows.tolist()], abs=2e-6)
+        fewest = min(fewest, scored)
+    assert fewest < 300
+    assert shard.search(np.array([10**9]), np.ones(1), 3)[0].size == 0
+    assert search.Shard(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 1.0).search(terms[:1], np.ones(1), 3)[2] == 0
 
 
 @pytest.mark.parametrize("table", ["documents", "edge"])
@@ -213,14 +334,31 @@ def test_packing(spark, docs, plain, table):
 
 def test_knapsack_and_patterns():
     rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        capacity, values = int(rng.integers(n, 40)), rng.normal(0.5, 0.6, n)
+        best = [0.0]
+        for c in range(1, capacity + 1):
+            best.append(max([best[-1], *(best[c - k - 1] + values[k] for k in range(min(n, c)))]))
+        worth, counts = packing.best_pattern(values, capacity)
+        assert worth == pytest.approx(best[-1]) and worth == pytest.approx((counts * values).sum()) and (counts * np.arange(1, n + 1)).sum() <= capacity
     for _ in range(5):
         demand = rng.integers(0, 40, 24)
-        plan = packing.solve_patterns(demand)
+        plan, left = packing.solve_patterns(demand)
+        plan += [(np.bincount(list(c), list(c.values()), 24), 1) for c in packing.first_fit([(k + 1, k, int(left[k])) for k in np.flatnonzero(left).tolist()], 24)]
         assert all((c * np.arange(1, 25)).sum() <= 24 for c, _ in plan)
         assert (sum(c * n for c, n in plan) >= demand).all()
         assert sum(n for _, n in plan) <= 1.1 * -(-int((demand * np.arange(1, 25)).sum()) // 24) + 3
 
 
+def test_short_texts_are_packed_by_exact_length(spark):
+    for text, size, n in (("the cat", 3, 5000), (None, 1, 5000), ("the cat and", 4, 1025)):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+        rows = packing.packed_documents(docs, keep_ids=False)
+        assert rows.select("length").distinct().collect() == [(size,)]
+        assert rows.select("sequence_id").distinct().count() == -(-n // (4096 // size))
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
@@ -345,6 +483,31 @@ def test_toxicity_held_out(spark):  # smaller tables have too few toxic labels t
     assert above >= 0.95 * len(bad) * len(good)
 
 
+def test_toxicity_gradients():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(np.arange(1, 9, dtype=np.uint64), rng.normal(size=8).astype(np.float32))
+    for k in net.w:
+        net.w[k] = (rng.normal(size=net.w[k].shape) * 0.4).astype(np.float32)
+    x = rng.normal(size=(7, toxicity.WORD_DIM + toxicity.CHAR_DIM)).astype(np.float32)
+    x[-1] = 0
+    index = rng.integers(0, 6, (5, 10)).astype(np.int32)
+    index[1, 6:] = index[4, 1:] = 6  # windows that end in padding
+    slope = rng.normal(size=5).astype(np.float32)
+    value = lambda: float(slope @ net.forward(net.gates(x), index, 6).astype(float))
+    _, kept = net.forward(net.gates(x), index, 6, keep=True)
+    grad, dgates = net.backward(kept, index, slope, len(x))
+    grad["in"], grad["bias"] = x.T @ dgates, dgates.sum(axis=0)
+    for k, g in grad.items():
+        way = rng.normal(size=g.shape).astype(np.float32)
+        was, step = net.w[k], 2e-3
+        net.w[k] = was + step * way
+        up = value()
+        net.w[k] = was - step * way
+        slope_seen = (up - value()) / (2 * step)
+        net.w[k] = was
+        assert slope_seen == pytest.approx(float((g * way).sum()), rel=0.02, abs=0.01), k
+
+
 def test_toxicity_bounds_are_named():
     assert toxicity.FIRST_WINDOWS == 12_288 and "FIRST_WINDOWS" in toxicity.__doc__
 
@@ -360,9 +523,24 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(after.collect(), after.schema)
     assert not any(secrets.base_spans(r["text"] or "") for r in docs.collect())
     sets = {r["doc_id"]: shingle_set(r["text"] or "") for r in docs.collect()}
-    got = corpus_pipeline.run(spark, SF)
-    assert {r["doc_id"] for r in got.select("doc_id").collect()} == set(sets)
+    got = corpus_pipeline.run(spark, SF).collect()
+    ids = dict(zip([r["doc_id"] for r in docs.collect()], encoded(vocabulary("word_bpe_49k.json"), [r["text"] or "" for r in docs.collect()], 2), strict=True))
+    assert {r["doc_id"] for r in got} == set(sets) == set(ids)
+    pieces, fill = defaultdict(int), defaultdict(list)
+    for r in got:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (len(part), zlib.crc32(part), len(ids[r["doc_id"]])) == (r["length"], r["ids_crc32"], r["doc_tokens"])
+        pieces[r["doc_id"]] += r["length"]
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(pieces[i] == len(x) for i, x in ids.items())
+    for own in fill.values():
+        ends = [sum(n for _, n in sorted(own)[:i]) for i in range(len(own) + 1)]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 4096
     edge = tricky(spark)
-    for _, stage in corpus_pipeline.STAGES:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"] for r in edge.collect()}
         edge = stage(spark, edge, SF)
-    assert edge.count() >= 0
+        assert {r["doc_id"] for r in edge.collect()} <= before, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, edge, SF)
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in edge.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, edge.where("false"), SF).count() == 0
