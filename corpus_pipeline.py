@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; ``run`` writes what a stage returns as
 Parquet and rereads it as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results, in any stage: ids, languages and sources may be null or repeated and extra columns pass through
+unchanged; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,27 +22,28 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null and empty texts have no words and go; each row is judged by itself, so repeated rows stay or go together."""
     return quality.good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many sources share."""
+    """Every document, without the lines that many sources share. A null text stays null, a text left without lines is empty; a null source is one source of its own."""
     return _counted(lines.without_shared_lines(docs, counts=False))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id (null ids last, equal ids by the text's hash). Null and empty texts have no
+    group and stay, but rows alike in id and text count once."""
     return near_dup.deduplicated(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with ``[kind]`` in place of each secret."""
+    """Every document, with ``[kind]`` in place of each secret; null and empty texts stay as they are."""
     return _counted(secrets.redacted(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token pieces with their sequence and offset."""
+    """Every document's token pieces with their sequence and offset; a null or empty text is one piece, the end id. Equal pieces are ranked by id, then by hash."""
     return packing.packed_documents(docs, keep_ids=False)
 
 
