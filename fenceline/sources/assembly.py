@@ -33,5 +33,15 @@ def records(spark: SparkSession, path: str, schema: StructType | str, strict: bo
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def tolerant_records(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of JSON lines, and (line) of those that are not, so that skips can be counted; blank lines are neither."""
+    text = spark.read.text(path).select(F.col("value").alias("line")).where("trim(line) <> ''")
+    shown = schema if isinstance(schema, str) else schema.simpleString()
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(shown)
+    marked = StructType(list(fields.fields)).add("_bad", "string")
+    parsed = text.withColumn("r", F.from_json("line", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.where("r._bad IS NULL").select(*(F.col(f"r.{f.name}") for f in fields.fields)), parsed.where("r._bad IS NOT NULL").select("line")
+
+
 def write_records(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
