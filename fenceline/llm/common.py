@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about this many bytes, which bounds a task's numpy arrays.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch, at most, while a step is written: some kilobytes a text, held by the executor and by its Python worker.
+ARROW_ROWS = 2000
 
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -51,11 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """``df`` written once to the shared folder and read back, so that its lineage ends there."""
+def written(df: DataFrame, name: str, fmt: str = "parquet", by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, in folders of ``by`` where that is given, and read back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fenceline-{name}-{uuid.uuid4().hex}"
-    df.write.format(fmt).save(path)
+    writer = df.write.format(fmt)
+    rows, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(rows, str(min(ARROW_ROWS, int(was)) if int(was) > 0 else ARROW_ROWS))
+    try:
+        (writer.partitionBy(by) if by else writer).save(path)
+    finally:
+        spark.conf.set(rows, was)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
@@ -271,7 +279,7 @@ class UnitEncoder:
     the time taken and nothing else.
     """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 1_500_000):
         self.encode, self.most = encode, most
         self.clear()
 
