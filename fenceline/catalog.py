@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fenceline.operators import augment, dedup, detect, features, fusion, graph, listings, ngrams, patterns, reports, selection, similarity, splits, subgraphs, windows
+from fenceline.operators import augment, dedup, detect, features, fusion, graph, listings, ngrams, patterns, reports, selection, similarity, splits, subgraphs, variants, windows
 from fenceline.sources import sinks
 from fenceline.streaming import incremental
 
-_MODULES = (dedup, ngrams, windows, graph, subgraphs, augment, patterns, splits, detect, reports, incremental, features, listings, similarity, fusion, selection, sinks)
+_MODULES = (dedup, ngrams, windows, graph, subgraphs, augment, patterns, splits, detect, reports, incremental, features, listings, similarity, fusion, selection, sinks, variants)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
