@@ -75,12 +75,12 @@ def consensus_full(votes: DataFrame) -> DataFrame:
 
 def union_ranked(parts: list[DataFrame], least: dict[str, float]) -> DataFrame:
     """Detections of several methods, one a span (the most confident, then the first type and method), over their type's least confidence, ranked within a sequence."""
-    every = reduce(DataFrame.unionByName, parts)
+    every = reduce(DataFrame.unionByName, parts).withColumn("confidence", F.round("confidence", 6))
     one = Window.partitionBy("seq", "lo", "hi").orderBy(F.col("confidence").desc(), "type", "detector")
     floor = F.coalesce(*(F.when(F.col("type") == k, F.lit(v)) for k, v in least.items()), F.lit(0.5))
     kept = every.withColumn("nth", F.row_number().over(one)).where((F.col("nth") == 1) & (F.col("confidence") >= floor))
     order = Window.partitionBy("seq").orderBy(F.col("confidence").desc(), "lo", "hi", "type")
-    return kept.withColumn("rank", F.row_number().over(order)).select("seq", "lo", "hi", "type", "detector", F.round("confidence", 6).alias("confidence"), "rank")
+    return kept.withColumn("rank", F.row_number().over(order)).select("seq", "lo", "hi", "type", "detector", "confidence", "rank")
 
 
 # Fixed values of the default gadget table: required features, opcode patterns, opcodes against, least instructions.
@@ -222,7 +222,7 @@ ORACLES = {
       SELECT *, CASE WHEN mended * (1 - fp) >= 0.85 THEN 'CRITICAL' WHEN mended * (1 - fp) >= 0.75 THEN 'HIGH' WHEN mended * (1 - fp) >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM v""",
     "consensus_full": f"""{detect._VOTES}, c AS (SELECT id, list_avg(list_filter([v1, v2, v3], lambda x: x IS NOT NULL)) AS share FROM v)
       SELECT id, coalesce(share >= 0.5, false) AS exploitable, CASE WHEN share >= 0.8 THEN 'HIGH' WHEN share >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level, round(coalesce(1 - share, 0.9), 6) AS fp FROM c""",
-    "union_ranked": f"""{_DET2}, o AS (SELECT DISTINCT ON (seq, lo, hi) seq, lo, hi, type, detector, round(confidence, 6) AS confidence FROM al ORDER BY seq, lo, hi, confidence DESC, type, detector)
+    "union_ranked": f"""{_DET2}, rd AS (SELECT seq, lo, hi, type, detector, round(confidence, 6) AS confidence FROM al), o AS (SELECT DISTINCT ON (seq, lo, hi) * FROM rd ORDER BY seq, lo, hi, confidence DESC, type, detector)
       SELECT *, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, lo, hi, type)::INT AS rank FROM o WHERE confidence >= CASE type WHEN 'LOAD_CHAIN' THEN 0.7 WHEN 'RETURN' THEN 0.6 ELSE 0.65 END""",
     "soft_vote": f"{_S}, y AS (SELECT *, {' + '.join(CLASS_SCORES)} AS t, {' + '.join(f'{c} * {c}' for c in CLASS_SCORES)} AS q FROM z), u AS ({_SHARES}) SELECT DISTINCT ON (seq, lo) seq, lo, said, share FROM u ORDER BY seq, lo, share DESC, o",
     "heat_map": f"{_S}, m AS (SELECT seq % 4 AS kind, {', '.join(f'avg({c}) AS {c}' for c in CLASS_SCORES)} FROM z GROUP BY 1) SELECT kind, {', '.join(f'round(coalesce({c} / nullif(max({c}) OVER (), 0), 0), 5) AS {c}' for c in CLASS_SCORES)} FROM m",
