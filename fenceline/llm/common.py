@@ -284,9 +284,8 @@ class UnitEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int32)
+        empty = lambda: [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        self.main, self.fresh = empty(), empty()  # sorted keys, where their ids begin, how many; new ones go to the smaller part
         self.ids = np.empty(0, np.int32)
         self.used = 0
 
@@ -295,34 +294,41 @@ class UnitEncoder:
         if not len(starts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         keys, first, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
+        if len(self.main[0]) + len(self.fresh[0]) + len(keys) > self.most:
             self.clear()
-        where = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = where < len(self.keys)
-        known[inside] = self.keys[where[inside]] == keys[inside]
+        at, size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for have, have_at, have_size in (self.main, self.fresh):
+            where = np.searchsorted(have, keys)
+            hit = where < len(have)
+            hit[hit] = have[where[hit]] == keys[hit]
+            at[hit], size[hit] = have_at[where[hit]], have_size[where[hit]]
+            known |= hit
         if not known.all():
             new = np.flatnonzero(~known)
             units = [buf[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]], strict=True)]
             found = self.encode(units)
             sizes = np.fromiter(map(len, found), np.int32, len(found))
             fresh = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-            at = self.used + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[:-1]
+            at[new], size[new] = self.used + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[:-1], sizes
             need = self.used + len(fresh)
             if need > len(self.ids):
                 self.ids = np.concatenate((self.ids[: self.used], np.empty(max(need, 2 * self.used) - self.used, np.int32)))
             self.ids[self.used : need] = fresh
             self.used = need
-            spot = where[new]
-            self.keys = np.insert(self.keys, spot, keys[new])
-            self.at = np.insert(self.at, spot, at)
-            self.size = np.insert(self.size, spot, sizes)
-            where = np.searchsorted(self.keys, keys)
-        at, size = self.at[where][back], self.size[where][back].astype(np.int64)
+            self.fresh = self._merged(self.fresh, [keys[new], at[new], sizes])
+            if len(self.fresh[0]) > max(1 << 14, len(self.main[0]) // 4):  # so a key is moved a few times only
+                self.main, self.fresh = self._merged(self.main, self.fresh), self._merged([x[:0] for x in self.fresh], [x[:0] for x in self.fresh])
+        at, size = at[back], size[back]
         ends_ = np.cumsum(size)
         index = np.arange(ends_[-1]) + np.repeat(at - (ends_ - size), size)
         return self.ids[index], size
 
+    @staticmethod
+    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        """Two parts as one, sorted by key; they share no key."""
+        order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
+        return [np.concatenate((x, y))[order] for x, y in zip(a, b, strict=True)]
+
 
 def load_tokenizer(path: str):
     """A tokenizers.Tokenizer on one thread, for which the text of special tokens is ordinary text."""
