@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .language import op9_language_id
 from .lines import OP6_SQL, op6_line_dedup
+from .merkle import op12_merkle_manifest
 from .nbest import op3_sentencepiece_nbest
 from .near_dup import op10_minhash_near_dedup
+from .neighbours import OP13_SQL, op13_block_neighbours
 from .packing import op7_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .search import OP5_SQL, op5_topk_search
@@ -24,5 +27,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_block_neighbours": op13_block_neighbours,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {
+    "op1_quality_rules": OP1_SQL, "op5_topk_search": OP5_SQL, "op6_line_dedup": OP6_SQL, "op11_filter_audit": OP11_SQL, "op13_block_neighbours": OP13_SQL,
+}
