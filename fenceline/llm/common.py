@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,15 @@ def written(df: DataFrame, name: str, fmt: str = "parquet", by: str | None = Non
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a ``written`` table that nothing reads any more; other tables stay."""
+    spark = df.sparkSession
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("fenceline-"):
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def trim() -> None:
     """Gives freed memory of this worker back to the system; a worker lives on between tasks and stages."""
     pa.default_memory_pool().release_unused()
@@ -331,13 +341,35 @@ class UnitEncoder:
 
 
 def load_tokenizer(path: str):
-    """A tokenizers.Tokenizer on one thread, for which the text of special tokens is ordinary text."""
+    """A tokenizers.Tokenizer on one thread. It takes the text of an added token, wherever that occurs, for the token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+def added_tokens(tokenizer) -> re.Pattern[bytes] | None:
+    """Matches the added tokens, at which a tokenizer cuts a text before anything else. Only plain ones (taken from the raw text, whatever stands around them) are supported."""
+    found = list(tokenizer.get_added_tokens_decoder().values())
+    if odd := [t.content for t in found if t.normalized or t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content)]:
+        raise ValueError(f"added tokens that depend on their neighbours: {odd}")
+    return re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(found, key=lambda t: -len(t.content)))) if found else None
+
+
+def cut_at(texts: Texts, tokens: re.Pattern[bytes] | None) -> tuple[Texts, np.ndarray]:
+    """The texts cut before and after each of ``tokens``, as texts of their own, and the index of each text's first part (one more at the end)."""
+    whole = np.arange(texts.n + 1)
+    if tokens is None or not tokens.search(texts.buf):
+        return texts, whole
+    cuts = []
+    for lo, hi in zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True):
+        cuts += [lo + x for m in tokens.finditer(texts.buf[lo:hi]) for x in m.span()]  # not over the buffer: a match must lie within a text
+    inner = np.setdiff1d(np.array(cuts, np.int64), texts.bounds)
+    bounds = np.concatenate((texts.bounds, inner))
+    order = np.argsort(bounds, kind="stable")  # bounds of empty texts repeat and stay in order
+    place = np.empty(len(bounds), np.int64)
+    place[order] = np.arange(len(bounds))
+    return Texts(np.arange(len(bounds) - 1), texts.buf, bounds[order]), place[whole]
 
 
 def vocabulary(name: str) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, tidy, vocabulary, written
+from .common import cut_at, slices, tidy, vocabulary, written
 from .token_output import encoder, per_text, word_units
 
 SEQ_LEN, UNIT, SHORT, END_ID = 4096, 16, 256, 2
@@ -39,12 +39,13 @@ log = logging.getLogger(__name__)
 
 def _cut(path: str, end_id: int, seq_len: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, tokens = encoder(path)
         for batch in batches:
             for texts in slices(batch.column(1)):
-                starts, ends, first = word_units(texts)
+                parts, first_part = cut_at(texts, tokens)
+                starts, ends, first = word_units(parts)
                 ids, sizes = encode(texts.buf, starts, ends)
-                at = per_text(ids, sizes, first)
+                at = per_text(ids, sizes, first[first_part])
                 rows, begin, length, crc, total, pieces = [], [], [], [], [], []
                 for k in range(texts.n):
                     own = np.append(ids[at[k] : at[k + 1]], end_id).astype("<u4")

@@ -1,19 +1,23 @@
 """Operator 2: token ids of whole texts, written as ORC in ascending id order and read back.
 
 Texts are range-partitioned by id and sorted, then encoded where they lie, so each task writes one file of a
-contiguous id range. Integer run-length encoding, a row index every ``stride`` rows and a Bloom filter on the id are
+contiguous id range; there is a file for ``FILE_BYTES`` of input, and rows of one id go to several files where they are many. Integer run-length encoding, a row index every ``stride`` rows and a Bloom filter on the id are
 ORC's own; a reader prunes stripes and row groups by id and takes stripes in parallel.
 
 Encoding goes through the tokenizers library, each distinct unit of a text once. A unit is what the byte-level
 pattern can never join with its neighbours: a word with the one space before it, or white space that stands alone.
-Texts with white space outside ASCII are one unit as a whole.
+Texts are first cut at the text of added tokens, as the library cuts them; such a token is a unit, and so is as a whole what
+holds white space outside ASCII.
 
 Defined results: null and empty texts hold the end id alone; null ids come first; rows of equal ids are ordered by
-number of ids and their hash.
+file, and in it by number of ids and their hash.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Texts, UnitEncoder, load_tokenizer, shared_dir, slices, spans_where, tidy, vocabulary
+from .common import IS_SPACE, Texts, UnitEncoder, added_tokens, cut_at, discard, load_tokenizer, shared_dir, slices, spans_where, tidy, vocabulary, written
 
-END_ID, STRIDE, STRIPE_BYTES = 0, 1000, 16 << 20
-_encoders: dict[str, UnitEncoder] = {}
+END_ID, STRIDE, STRIPE_BYTES, FILE_BYTES = 0, 1000, 16 << 20, 512 << 20
+_encoders: dict[str, tuple[UnitEncoder, re.Pattern[bytes] | None]] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """This Python worker's encoder for a vocabulary file."""
+def encoder(path: str) -> tuple[UnitEncoder, re.Pattern[bytes] | None]:
+    """This Python worker's encoder for a vocabulary file, and what matches its added tokens."""
     if path not in _encoders:
         import gc
 
@@ -38,7 +42,7 @@ def encoder(path: str) -> UnitEncoder:
         def encode(units: list[str]) -> list[list[int]]:
             return [e.ids for k in range(0, len(units), 4096) for e in tok.encode_batch(units[k : k + 4096], add_special_tokens=False)]
 
-        _encoders[path] = UnitEncoder(encode)
+        _encoders[path] = UnitEncoder(encode), added_tokens(tok)
         gc.freeze()
     return _encoders[path]
 
@@ -82,12 +86,13 @@ def per_text(ids: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarra
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, tokens = encoder(path)
         for batch in batches:
             for texts in slices(batch.column(1)):
-                starts, ends, first = byte_level_units(texts)
+                parts, first_part = cut_at(texts, tokens)
+                starts, ends, first = byte_level_units(parts)
                 ids, sizes = encode(texts.buf, starts, ends)
-                at = per_text(ids, sizes, first)
+                at = per_text(ids, sizes, first[first_part])
                 out = np.full(len(ids) + texts.n, end_id, np.int32)
                 own = np.ones(len(out), bool)
                 own[at[1:] + np.arange(texts.n)] = False
@@ -98,13 +103,19 @@ def _encoded(path: str, end_id: int):
     return run
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """The planner's estimate, which for files is their size; 0 where it has none, as for rows from the driver."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else 0
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = END_ID, files: int | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Writes (``id_col``, ids) in ascending id order to ORC files at ``path``."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    many = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.repartitionByRange(many, "id").sortWithinPartitions("id")
+    many = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(_input_bytes(docs) / FILE_BYTES))
+    spread = texts.repartitionByRange(many, "id", F.monotonically_increasing_id()).sortWithinPartitions("id")
     done = spread.mapInArrow(tidy(_encoded(vocab or vocabulary("byte_bpe_50k.json"), end_id)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
     done.write.option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(STRIDE)).option(
         "orc.stripe.size", str(stripe_bytes)
@@ -132,8 +143,6 @@ def token_index(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     kind = tokens.schema[id_col].dataType.simpleString()
     rows = tokens.select(F.col(id_col).alias("id"), "ids", F.col("_metadata.file_path").alias("file"))
-    from .common import written
-
     rows = written(rows.mapInArrow(tidy(_summed), f"id {kind}, file string, n_tokens long, ids_crc32 long"), "token-sums")
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("id").isNotNull().alias("n"), "id")).alias("least"), F.sum("n_tokens").alias("all"))
     before = Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,8 +155,9 @@ def token_index(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op2_token_output(spark, sf_dir: str) -> DataFrame:
     """Operator 2 over all of ``documents``."""
-    import uuid
-
     path = f"{shared_dir(spark)}/fenceline-tokens-{uuid.uuid4().hex}"
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return token_index(read_tokens(spark, path))
+    tokens = read_tokens(spark, path)
+    found = token_index(tokens)  # a written table, which no longer needs the files
+    discard(tokens)
+    return found
