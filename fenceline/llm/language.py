@@ -16,7 +16,6 @@ Defined results: ``und`` with score 0 where the text is null or has no letter, o
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import batched
@@ -30,7 +29,6 @@ from .common import tidy, written
 
 MAX_N, BITS, CHUNK, LANDMARKS, PER_LANGUAGE, RIDGE, BLOCK = 3, 14, 4096, 192, 300, 1e-2, 96
 HELD_MOD, HELD_REST = 4, 2
-_LETTER = re.compile(r"[^\W\d_]")
 _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -54,8 +52,13 @@ def presence(chunks: list[str]) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode's L), which numerals, fractions and signs are not."""
+    return next(filter(str.isalpha, text), None) is not None
+
+
 def _parts(text: str | None) -> list[str]:
-    if not text or not _LETTER.search(text):
+    if not text or not has_letter(text):
         return []
     text = text.lower()
     return [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
@@ -119,7 +122,7 @@ def fit(languages: list[str], landmarks: list[bytes], rows: Iterable[tuple[str,
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """(id, lang, text): at most ``per_language`` rows a language, one an id, of those with a letter, a language and crc32(id as text) mod 4 other than 2."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    letter = F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")  # as _LETTER
+    letter = F.col("text").rlike(r"\p{L}")  # as has_letter
     able = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & letter)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = able.select("id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang")
