@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fenceline.llm import language, lines, nbest, near_dup, packing, quality, queries, search, secrets, token_output, toxicity
-from fenceline.llm.common import load_tokenizer, vocabulary
+from fenceline.llm.common import vocabulary
 
 from ..conftest import SF
 
@@ -85,7 +85,9 @@ def test_rule_order_never_changes_the_verdict(docs):
 
 
 def encoded(path, texts, end):
-    tok = load_tokenizer(path)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)  # the library's own, not the operator's
     return [np.array([*tok.encode(t, add_special_tokens=False).ids, end], "<u4") for t in texts]
 
 
