@@ -28,19 +28,18 @@ def detections(rows: DataFrame) -> DataFrame:
     return found.select("seq", "lo", "hi", kind.alias("type"), best.alias("confidence"))
 
 
-def suppressed(found: DataFrame, overlap: float = 0.5, most: int = 20, longest: int = 64) -> DataFrame:
+def suppressed(found: DataFrame, overlap: float = 0.5, most: int = 20, stretch: int = 64) -> DataFrame:
     """Greedy overlap suppression within each ``seq``: best first, dropped if it overlaps a kept span by more than ``overlap`` of the shorter; the best ``most`` stay.
 
     Done in rounds: a span that is better than all undecided spans it clashes with is kept, those it clashes with are
     dropped. That is the greedy choice, without one task for a sequence. Clashes are an equi-join on stretches of
-    ``longest`` positions, the most a span may have. Spans alike in all columns count once.
+    ``stretch`` positions; a span is in all stretches that it touches, so spans of any length that overlap meet in one.
+    Spans alike in all columns count once.
     """
     order = [F.col("confidence").desc(), "lo", "hi", "type"]
     spans = found.distinct().withColumn("rank", F.struct(-F.col("confidence"), "lo", "hi", "type"))
-    if not spans.where(F.col("hi") - F.col("lo") > longest).isEmpty():
-        raise ValueError(f"a span is longer than {longest}")
-    stretch = lambda: F.explode(F.sequence(F.floor(F.col("lo") / longest), F.floor(F.col("hi") / longest)))
-    a, b = spans.select("*", stretch().alias("part")).alias("a"), spans.select("*", stretch().alias("part")).alias("b")
+    parts = F.explode(F.sequence(F.floor(F.col("lo") / stretch), F.floor(F.col("hi") / stretch)))
+    a, b = spans.select("*", parts.alias("part")).alias("a"), spans.select("*", parts.alias("part")).alias("b")
     shared = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
     shorter = F.greatest(F.lit(1), F.least(F.col("a.hi") - F.col("a.lo"), F.col("b.hi") - F.col("b.lo")))
     clash = (F.col("a.seq") == F.col("b.seq")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rank") < F.col("b.rank")) & (shared > F.lit(overlap) * shorter)
@@ -127,11 +126,14 @@ def neighbours(lists: DataFrame) -> DataFrame:
     return left.join(right, F.col("b") == F.col("a") + 1)
 
 
-def prefix_length(x: Column, y: Column) -> Column:
-    """How many first entries two arrays share."""
-    same = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.coalesce(z["x"] == z["y"], F.lit(False)))
-    first = F.array_position(same, False).cast("int")
-    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+def prefix_lengths(rows: DataFrame) -> DataFrame:
+    """(a, b, n): how many first operations each sequence shares with that of the next number, whatever their lengths.
+
+    Places meet by equality and the first differing one decides; where none differs, the shorter sequence's length.
+    """
+    x, y = rows.select(F.col("seq").alias("a"), "pos", F.col("op").alias("x")), rows.select(F.col("seq").alias("b"), (F.col("seq") - 1).alias("a"), "pos", F.col("op").alias("y"))
+    met = x.join(y, ["a", "pos"]).groupBy("a", "b").agg(F.min(F.when(~F.col("x").eqNullSafe(F.col("y")), F.col("pos"))).alias("first"), F.count("*").alias("all"))
+    return met.select("a", "b", F.coalesce("first", "all").cast("long").alias("n"))
 
 
 def lcs_ratios(pairs: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ QUERIES = {
     "signature_cross_match": lambda s, d: signature_matches(word_lists(s, d), library(s, d)),
     "best_match": lambda s, d: best_matches(signature_matches(word_lists(s, d), library(s, d))),
     "lcs_ratio": lambda s, d: lcs_ratios(neighbours(traces(instructions(s, d)))),
-    "prefix_match": lambda s, d: neighbours(traces(instructions(s, d))).select("a", "b", prefix_length(F.col("x"), F.col("y")).alias("n")),
+    "prefix_match": lambda s, d: prefix_lengths(instructions(s, d)),
     "centroid_cosine": centroid_cosine,
 }
 
@@ -209,7 +211,7 @@ ORACLES = {
       SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM r""",
     "signature_cross_match": f"{_SIG} SELECT * FROM m WHERE jaccard >= 0.01",
     "best_match": f"{_SIG} SELECT DISTINCT ON (id) id, item, jaccard FROM m WHERE jaccard >= 0.01 ORDER BY id, jaccard DESC, item",
-    "prefix_match": f"""WITH {EV}, p AS (SELECT x.seq AS a, y.seq AS b, x.pos, x.op = y.op AS same FROM ev x JOIN ev y ON y.seq = x.seq + 1 AND y.pos = x.pos WHERE x.pos < 50)
+    "prefix_match": f"""WITH {EV}, p AS (SELECT x.seq AS a, y.seq AS b, x.pos, x.op = y.op AS same FROM ev x JOIN ev y ON y.seq = x.seq + 1 AND y.pos = x.pos)
       SELECT a, b, coalesce(min(pos) FILTER (NOT same), count(*)) AS n FROM p GROUP BY ALL""",
     "centroid_cosine": """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM v GROUP BY ALL),
       p AS (SELECT label, vec_id, sum(x * m) / sqrt(sum(x * x) * sum(m * m)) AS c FROM v JOIN m USING (label, dim) GROUP BY ALL) SELECT label, round(avg(c), 5) AS cosine FROM p GROUP BY label""",

@@ -149,10 +149,25 @@ def group_labels(found: DataFrame) -> DataFrame:
     return found.groupBy("seq").agg(best.alias("b")).select("seq", "b.type", "b.confidence")
 
 
-def span_lines(spans: DataFrame, rows: DataFrame, longest: int = 64) -> DataFrame:
-    """(seq, lo, hi, lines, ops): how many rows each span holds and how many distinct operations: places of a span, at most ``longest``, meet rows by equality."""
-    each = spans.select("seq", "lo", "hi").distinct().where(F.col("hi") - F.col("lo") < longest).withColumn("pos", F.explode(F.sequence("lo", "hi")))
-    return each.join(rows.select("seq", "pos", "op"), ["seq", "pos"]).groupBy("seq", "lo", "hi").agg(F.count("*").alias("lines"), F.countDistinct("op").alias("ops"))
+def span_lines(spans: DataFrame, rows: DataFrame, stretch: int = 64) -> DataFrame:
+    """(seq, lo, hi, lines, ops): how many rows each span holds and how many distinct operations, spans without a row left out.
+
+    A span of any length is cut at multiples of ``stretch``: whole stretches meet a table of counts and sets by stretch, the
+    places of the two rests, fewer than ``2 * stretch``, meet rows by equality. Null ends hold nothing; spans count once.
+    """
+    each = spans.select("seq", "lo", "hi").distinct().where("hi >= lo")
+    first, last = F.ceil(F.col("lo") / stretch), F.floor((F.col("hi") + 1) / stretch) - 1  # the whole stretches
+    each = each.withColumns({"first": first, "last": last}).withColumn("whole", F.col("last") >= F.col("first"))
+    none = F.array().cast("array<bigint>")
+    to = lambda a, b: F.when(b >= a, F.sequence(a.cast("long"), b.cast("long"))).otherwise(none)
+    lo, hi = F.col("lo"), F.col("hi")
+    rest = F.when(F.col("whole"), F.concat(to(lo, F.col("first") * stretch - 1), to((F.col("last") + 1) * stretch, hi))).otherwise(to(lo, hi))
+    inner = each.where("whole").select("seq", "lo", "hi", F.explode(to(F.col("first"), F.col("last"))).alias("part"))
+    parts = rows.groupBy("seq", F.floor(F.col("pos") / stretch).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("op")).alias("ops"))
+    outer = each.select("seq", "lo", "hi", F.explode(rest).alias("pos")).join(rows.select("seq", "pos", F.lit(1).cast("long").alias("n"), F.array_compact(F.array("op")).alias("ops")), ["seq", "pos"])
+    met = inner.join(parts, ["seq", "part"]).select("seq", "lo", "hi", "n", "ops").unionByName(outer.select("seq", "lo", "hi", "n", "ops"))
+    distinct = F.size(F.array_distinct(F.flatten(F.collect_set("ops")))).cast("long")
+    return met.groupBy("seq", "lo", "hi").agg(F.sum("n").alias("lines"), distinct.alias("ops"))
 
 
 def vocabulary_ids(tokens: DataFrame, least: int = 2, offset: int = 2) -> DataFrame:

@@ -15,7 +15,7 @@ from fenceline.operators.features import KEY, sigmoid
 from fenceline.operators.subgraphs import per_window
 from fenceline.plans.assembly_analog import CODE, LISTING, WINDOWS, code, code_windows, listing, windows, windows_sql
 
-NODE_LIMIT, EDGE_LIMIT = 20, 64
+NODE_LIMIT, EDGE_LIMIT = 64, 512
 
 
 def line_columns(rows: DataFrame) -> DataFrame:
@@ -312,6 +312,7 @@ _VAL = "try_cast(ltrim(x, '$#') AS BIGINT)"
 _IMM = f"""CASE WHEN {_VAL} IS NULL THEN CASE WHEN regexp_matches(lower(x), 'offset|addr|ptr') THEN 'IMM_ADDRESS' ELSE 'IMM_SYMBOL' END WHEN {_VAL} = 0 THEN 'IMM_ZERO' WHEN {_VAL} = 1 THEN 'IMM_ONE' WHEN {_VAL} BETWEEN 2 AND 8 THEN 'IMM_SMALL_POWER2'
   WHEN {_VAL} IN (16, 32, 64, 128, 256, 512, 1024) THEN 'IMM_POWER2' WHEN {_VAL} BETWEEN -128 AND 127 THEN 'IMM_BYTE' WHEN {_VAL} BETWEEN -32768 AND 32767 THEN 'IMM_WORD' WHEN {_VAL} < 0 THEN 'IMM_NEGATIVE' WHEN {_VAL} <= 4294967295 THEN 'IMM_DWORD' ELSE 'IMM_LARGE' END"""
 _ROLE = "CASE " + " ".join(f"WHEN register IN {names} THEN '{role}'" for role, names in nodes.REGISTER_ROLES) + " ELSE 'REG_' || upper(register) END"
+_ONE_HOT = """['LOAD', 'STORE', 'BRANCH_COND', 'BRANCH_UNCOND', 'CALL', 'CALL_INDIRECT', 'RET', 'JUMP_INDIRECT', 'COMPARE', 'ARITHMETIC', 'LOGIC', 'SHIFT', 'FENCE', 'CACHE', 'TIMING', 'MOVE', 'STACK', 'NOP', 'OTHER']"""  # by hand: the places are the result
 _FENCE_OR_TIME = "(" + _m("fence") + " OR " + _m("timing") + r" OR contains(lower(line), 'cntvct'))"
 ORACLES = {
     "line_columns": rf"""WITH {LISTING}, tr AS (SELECT seq, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM li),
@@ -325,12 +326,12 @@ ORACLES = {
     "register_roles": f"WITH {CODE}, r AS (SELECT unnest({_REGS('line')}) AS register FROM co) SELECT register, {_ROLE} AS role, count(*) AS n FROM r GROUP BY ALL",
     "label_buckets": f"""WITH {CODE}, l AS (SELECT regexp_extract(line, '(\\.L[0-9]+|helper\\w*)', 1) AS label FROM co) SELECT label, 'LABEL_' || (('0x' || md5(label)[1:8])::BIGINT % 1000) AS bucket, count(*) AS n FROM l WHERE label <> '' GROUP BY ALL""",
     "node_columns": f"WITH {_NODES} SELECT seq, pos, category, array_to_string(dest, ',') AS dest, array_to_string(list_filter(srcs, lambda x, k: list_position(srcs, x) = k), ',') AS src, memory, {_FLAGBITS} AS flags FROM nd",
-    "node_vectors": f"""WITH {_NODES}, v AS (SELECT seq, pos, list_concat(list_transform({list(fixed.OPCODE_CATEGORIES)}, lambda x: (x = category)::INT::DOUBLE), list_transform({list(fixed.MEMORY_TYPES)}, lambda x: (x = memory)::INT::DOUBLE), [least(len(dest), 3) / 3, least(len(list_distinct(srcs)), 5) / 5],
+    "node_vectors": f"""WITH {_NODES}, v AS (SELECT seq, pos, list_concat(list_transform({_ONE_HOT}, lambda x: (x = category)::INT::DOUBLE), list_transform({list(fixed.MEMORY_TYPES)}, lambda x: (x = memory)::INT::DOUBLE), [least(len(dest), 3) / 3, least(len(list_distinct(srcs)), 5) / 5],
         [{", ".join(f"f{k}::INT::DOUBLE" for k in range(8))}], [pos / greatest(count(*) OVER (PARTITION BY seq) - 1, 1)]) AS v FROM nd) SELECT seq, pos, array_to_string(list_transform(v, lambda x: round(x, 4)::VARCHAR), ',') AS vector FROM v""",
     "listing_edges": f"WITH {_EDGES} SELECT seq, src, dst, type, round(weight, 6) AS weight FROM ed",
     "listing_edge_dist": f"WITH {_EDGES} SELECT type, count(*) AS n, round(avg(weight), 5) AS mean_weight FROM ed GROUP BY type",
-    "listing_coo": f"""WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY dst, [2, 0, 3, 3, 3, 4, 5, 1][type + 1], src, type, reg NULLS FIRST) - 1 AS k FROM ed WHERE src < {NODE_LIMIT} AND dst < {NODE_LIMIT})
-      SELECT seq, k, src, dst, type FROM r WHERE k < {EDGE_LIMIT}""",
+    "listing_coo": f"""WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY dst, [2, 0, 3, 3, 3, 4, 5, 1][type + 1], src, type, reg NULLS FIRST) - 1 AS k FROM ed WHERE src < 64 AND dst < 64)
+      SELECT seq, k, src, dst, type FROM r WHERE k < 512""",
     "base_features": f"""WITH {WINDOWS}, o AS (SELECT *, {_OP} AS op FROM aw), f AS (SELECT *, {_SIMPLE} AS kind, regexp_matches(line, '{_CONDITION}') AS br, regexp_matches(line, '(?i){fixed.LINE_PATTERNS["load"]}') AS ld, regexp_matches(line, '(?i){fixed.LINE_PATTERNS["store"]}') AS st, regexp_matches(line, '{_BARRIER}') AS bar FROM o)
       SELECT seq, lo, coalesce(string_agg(op, ' ' ORDER BY i) FILTER (op <> 'nop'), '') AS op_trace, coalesce(string_agg(kind, ' ' ORDER BY i), '') AS struc_trace, count(*) FILTER (contains(line, '[') AND contains(line, ']')) AS num_mem_ops, count(*) FILTER (st) AS num_store_ops, count(*) FILTER (ld) AS num_load_ops,
         sum(len(regexp_extract_all(line, '\\b[wx][0-9]+\\b')))::BIGINT AS num_reg_tokens, count(*) FILTER (br) AS num_branches, max(bar::INT) AS barrier_present, max(regexp_matches(line, '{_POINTER}')::INT) AS has_pointer_arith, count(*) AS window_length,

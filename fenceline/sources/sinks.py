@@ -86,10 +86,13 @@ def vocabulary(tokens: DataFrame, least: int = 1) -> DataFrame:
 
 
 def graph_records(nodes: DataFrame, edges: DataFrame, width: int = 64) -> DataFrame:
-    """(seq, part, nodes, edges): the graph of each stretch of ``width`` positions, nodes as a map, edges as a sorted list, for JSON lines."""
+    """(seq, part, nodes, edges): the graph of each stretch of ``width`` positions, nodes as a map, edges as a sorted list, for JSON lines.
+
+    An edge is in the stretch of its source, wherever its target is, so none is lost between stretches.
+    """
     part = lambda c: F.floor(F.col(c) / width).alias("part")
     n = nodes.groupBy("seq", part("pos")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "op")))).alias("nodes"))
-    e = edges.where(F.floor(F.col("src") / width) == F.floor(F.col("dst") / width)).groupBy("seq", part("src")).agg(F.array_sort(F.collect_set(F.struct("src", "dst", "type"))).alias("edges"))
+    e = edges.groupBy("seq", part("src")).agg(F.array_sort(F.collect_set(F.struct("src", "dst", "type"))).alias("edges"))
     return n.join(e, ["seq", "part"], "left")
 
 
@@ -126,7 +129,7 @@ def _graph_sql() -> str:
 
     return f"""WITH {EV}, {_DATA}, {_MEM}, {_SPEC}, {_CACHE}, {_NEXT}, e AS (SELECT seq, src, dst, 0 AS type FROM dd UNION ALL SELECT seq, src, dst, 1 FROM nx UNION ALL SELECT seq, src, dst, type FROM sp UNION ALL SELECT seq, src, dst, 5 FROM mm
       UNION ALL SELECT seq, src, dst, 6 FROM cc UNION ALL SELECT seq, src, dst, 7 FROM nx WHERE op = '{FENCE}'), n AS (SELECT seq, pos // 32 AS part, count(*) AS n_nodes FROM ev GROUP BY ALL),
-      x AS (SELECT seq, src // 32 AS part, count(DISTINCT (src, dst, type)) AS n_edges FROM e WHERE src // 32 = dst // 32 GROUP BY ALL) SELECT seq, part, n_nodes, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN x USING (seq, part)"""
+      x AS (SELECT seq, src // 32 AS part, count(DISTINCT (src, dst, type)) AS n_edges FROM e GROUP BY ALL) SELECT seq, part, n_nodes, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN x USING (seq, part)"""
 
 
 def _summary_sql() -> str:

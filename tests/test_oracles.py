@@ -48,8 +48,9 @@ def test_suppression_is_greedy(spark):
         want += [(seq, lo, hi, kind) for _, lo, hi, kind in kept]
     got = catalog.QUERIES["nms_filter"](spark, SF).collect()
     assert sorted((r["seq"], r["lo"], r["hi"], r["type"]) for r in got) == sorted(want)
-    with pytest.raises(ValueError):
-        detect.suppressed(spark.createDataFrame([(1, 0, 99, "x", 0.5)], "seq long, lo long, hi long, type string, confidence double"))
+    spans = [(1, 0, 999, "x", 0.5), (1, 900, 1500, "x", 0.4), (1, 100, 700, "x", 0.6), (1, 600, 720, "x", 0.55), (1, 5000, 5000, "x", 0.1), (1, 690, 760, "y", 0.3)]
+    kept = detect.suppressed(spark.createDataFrame(spans, "seq long, lo long, hi long, type string, confidence double")).collect()
+    assert sorted((r["lo"], r["hi"]) for r in kept) == [(100, 700), (690, 760), (900, 1500), (5000, 5000)]  # spans over many stretches
 
 
 def test_lcs_is_brute_force(spark):
