@@ -1,8 +1,10 @@
-"""Similarity of windows of assembly lines to a signature library: n-gram, graph, semantic, TF-IDF and profile measures.
+"""Similarity of windows of assembly lines to a signature library: n-gram, alignment, graph, semantic, TF-IDF and profile measures.
 
-Pairs come from equi-joins on what both sides share (an opcode 3-gram, a term, an opcode, an architecture), so no pair
-without anything in common is made. A window is (seq, lo); signatures are the first windows of every tenth listing.
-Windows too short for an n-gram have none; a null line counts as an empty one.
+The library is a stated set of at most ``LIBRARY`` signatures, here the first windows of the listings with the smallest
+hashes, so pairs grow with the windows alone. They come from equi-joins with it on what both sides share (an opcode
+3-gram, a term, an opcode, an architecture). A window's sets are built once, not once a pair. Windows meet each other
+only in ``clusters``, by an exact prefix filter. A window is (seq, lo); windows too short for an n-gram have none; a null
+line counts as an empty one.
 """
 
 from __future__ import annotations
@@ -12,9 +14,13 @@ from pyspark.sql import functions as F
 
 from fenceline.functions.instructions import opcode
 from fenceline.functions.nodes import semantic_type
+from fenceline.operators import alignment, clusters
 from fenceline.plans.assembly_analog import WINDOWS, code_windows
 
-KEY, EVERY, NS = ("seq", "lo"), 10, (2, 3, 4, 5)
+KEY, LIBRARY, NS = ("seq", "lo"), 16, (2, 3, 4, 5)
+# How far from a branch its target is looked for, the types that may be one, and the weights of the combined score.
+BRANCH_FROM, BRANCH_TO, BRANCH_TARGETS = 2, 9, ("LOAD", "STORE", "COMPUTE")
+SCORE_WEIGHTS = {"ngram": 0.3, "alignment": 0.25, "lcs": 0.2, "graph": 0.15, "cosine": 0.1}
 
 
 def grams(ops: Column, n: int) -> Column:
@@ -24,17 +30,28 @@ def grams(ops: Column, n: int) -> Column:
 
 
 def shapes(lines: DataFrame) -> DataFrame:
-    """(seq, lo, arch, ops, kinds, edges): a window's opcodes, its set of semantic types and of successive pairs of them."""
+    """(seq, lo, arch, ops, kinds, edges, g2 ... g5): a window's opcodes, its sets of semantic types, of kinds of control edges, and of n-grams.
+
+    Edges are ``sequential`` and, where a branch has a load, store or computation 2 to 9 lines on, ``branch``.
+    """
     rows = lines.select(*KEY, "i", opcode(F.coalesce("line", F.lit(""))).alias("op"))
     whole = rows.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "op"))), lambda s: s["op"]).alias("ops"))
-    kinds = F.transform("ops", semantic_type)
-    return whole.select(*KEY, (F.col("seq") % 2).alias("arch"), "ops", F.array_distinct(kinds).alias("kinds"), grams(kinds, 2).alias("edges"))
+    whole = whole.withColumn("types", F.transform("ops", semantic_type))
+    target = lambda i: F.exists(F.slice("types", i + BRANCH_FROM + 1, BRANCH_TO - BRANCH_FROM + 1), lambda t: t.isin(*BRANCH_TARGETS))
+    branches = F.exists(F.sequence(F.lit(0), F.size("types") - 1), lambda i: (F.get("types", i) == "BRANCH") & target(i))
+    edges = F.array_compact(F.array(F.when(F.size("types") > 1, "sequential"), F.when(branches, "branch")))
+    return whole.select(*KEY, (F.col("seq") % 2).alias("arch"), "ops", F.array_distinct("types").alias("kinds"), edges.alias("edges"), *(grams(F.col("ops"), n).alias(f"g{n}") for n in NS))
+
+
+def signatures(windows: DataFrame) -> DataFrame:
+    """(s_seq): the listings whose first windows are the library."""
+    return windows.where("lo = 0").orderBy(F.md5(F.col("seq").cast("string")), "seq").limit(LIBRARY).select(F.col("seq").alias("s_seq"))
 
 
 def library(windows: DataFrame) -> DataFrame:
-    """The signatures of a table of shapes, under the names s_seq, s_arch, s_ops, s_kinds and s_edges."""
-    own = windows.where((F.col("lo") == 0) & (F.col("seq") % EVERY == 0))
-    return own.select(F.col("seq").alias("s_seq"), *(F.col(c).alias(f"s_{c}") for c in ("arch", "ops", "kinds", "edges")))
+    """The signatures of a table of shapes, at most ``LIBRARY``, under the names s_seq, s_arch, s_ops and so on."""
+    own = windows.where("lo = 0").join(F.broadcast(signatures(windows)), F.col("seq") == F.col("s_seq"))
+    return own.select("s_seq", *(F.col(c).alias(f"s_{c}") for c in ("arch", "ops", "kinds", "edges", *(f"g{n}" for n in NS))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -43,46 +60,83 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def pairs(windows: DataFrame) -> DataFrame:
-    """Every window with every signature that shares an opcode 3-gram with it, but for itself."""
+def pairs(windows: DataFrame, by: str = "g3") -> DataFrame:
+    """Every window with every signature that shares an entry of the array ``by`` with it (an opcode 3-gram, an opcode), but for itself."""
     known = library(windows)
-    left = windows.select(*KEY, F.explode(grams(F.col("ops"), 3)).alias("gram"))
-    right = known.select("s_seq", F.explode(grams(F.col("s_ops"), 3)).alias("gram"))
-    met = left.join(right, "gram").where(~((F.col("lo") == 0) & (F.col("seq") == F.col("s_seq")))).select(*KEY, "s_seq").distinct()
-    return met.join(windows, list(KEY)).join(known, "s_seq")
+    left = windows.select(*KEY, F.explode(F.array_distinct(by)).alias("item"))
+    right = known.select("s_seq", F.explode(F.array_distinct(f"s_{by}")).alias("item"))
+    met = left.join(F.broadcast(right), "item").where(~((F.col("lo") == 0) & (F.col("seq") == F.col("s_seq")))).select(*KEY, "s_seq").distinct()
+    return met.join(windows, list(KEY)).join(F.broadcast(known), "s_seq")  # the library is bounded
 
 
-def measured(windows: DataFrame) -> DataFrame:
-    """(seq, lo, s_seq, j2 ... j5, ngram, graph, semantic, opcodes): the measures of ``pairs``; n-grams weigh n."""
-    out = pairs(windows)
-    each = {n: jaccard(grams(F.col("ops"), n), grams(F.col("s_ops"), n)) for n in NS}
+def measured(windows: DataFrame, by: str = "g3", *more: str) -> DataFrame:
+    """(seq, lo, s_seq, j2 ... j5, ngram, graph, semantic, opcodes): the measures of ``pairs``, and its columns ``more``; n-grams weigh n."""
+    out = pairs(windows, by)
+    each = {n: jaccard(F.col(f"g{n}"), F.col(f"s_g{n}")) for n in NS}
     weighted = sum((F.col(f"j{n}") * n for n in NS[1:]), F.col(f"j{NS[0]}") * NS[0]) / sum(NS)
     graph = (jaccard(F.col("kinds"), F.col("s_kinds")) + jaccard(F.col("edges"), F.col("s_edges"))) / 2
     out = out.select(
         *KEY, "s_seq", "arch", "s_arch", *(c.alias(f"j{n}") for n, c in each.items()), graph.alias("graph"), jaccard(F.col("kinds"), F.col("s_kinds")).alias("semantic"),
-        jaccard(F.array_distinct("ops"), F.array_distinct("s_ops")).alias("opcodes"),
+        jaccard(F.array_distinct("ops"), F.array_distinct("s_ops")).alias("opcodes"), *more,
     )
     return out.withColumn("ngram", weighted)
 
 
+def aligned(windows: DataFrame) -> DataFrame:
+    """(seq, lo, s_seq, alignment, lcs): of the windows' and signatures' opcodes, for the pairs that share a 3-gram."""
+    return alignment.aligned(pairs(windows).select(*KEY, "s_seq", "ops", "s_ops"), "ops", "s_ops").drop("ops", "s_ops")
+
+
+def ranked(windows: DataFrame, k: int = 100, least: float = 0.3) -> DataFrame:
+    """(seq, lo, s_seq, <measures>, score): the ``k`` best of all pairs with a weighted sum of all five measures above ``least``.
+
+    Pairs without a common opcode have no n-gram, alignment, subsequence or term in common: they reach the graph's weight at most, so leaving them out loses nothing.
+    """
+    if least < SCORE_WEIGHTS["graph"]:
+        raise ValueError("pairs without a common opcode may be above such a score")
+    found = alignment.aligned(measured(windows, "ops", "ops", "s_ops"), "ops", "s_ops")
+    found = found.join(dots(windows), [*KEY, "s_seq"], "left").fillna(0.0, ["cosine"])
+    score = sum((F.col(c) * w for c, w in SCORE_WEIGHTS.items()), F.lit(0.0))
+    best = found.withColumn("score", F.round(score, 6)).where(F.col("score") > least).orderBy(F.col("score").desc(), *KEY, "s_seq").limit(k)
+    return best.select(*KEY, "s_seq", *(F.round(c, 6).alias(c) for c in SCORE_WEIGHTS), "score")
+
+
 def combined(found: DataFrame, k: int = 100) -> DataFrame:
     """(seq, lo, s_seq, score): the ``k`` best pairs by .3 n-grams, .15 graph and .1 semantic, over the weights' sum, of those above 0.3."""
     score = F.round((F.col("ngram") * 0.3 + F.col("graph") * 0.15 + F.col("semantic") * 0.1) / 0.55, 6)
     return found.select(*KEY, "s_seq", score.alias("score")).where("score > 0.3").orderBy(F.col("score").desc(), *KEY, "s_seq").limit(k)
 
 
-def tfidf_cosine(windows: DataFrame) -> DataFrame:
-    """(seq, lo, s_seq, cosine): TF-IDF vectors of 1- to 3-grams, smoothed inverse frequencies, unit length; pairs of 0.5 and more."""
+def terms(most: int = 3) -> Column:
+    """All 1- to ``most``-grams of a window's opcodes, repeats among them."""
     every = lambda n: F.when(F.size("ops") >= n, F.transform(F.sequence(F.lit(0), F.size("ops") - n), lambda i: F.array_join(F.slice("ops", i + 1, n), "::"))).otherwise(F.array().cast("array<string>"))
-    counts = windows.select(*KEY, F.explode(F.concat(every(1), every(2), every(3))).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
-    total = windows.agg(F.count("*").alias("n"))  # one row
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(idf, "term").select(*KEY, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weights.join(norms, list(KEY)).select(*KEY, "term", (F.col("w") / F.col("norm")).alias("w"))
-    known = unit.where((F.col("lo") == 0) & (F.col("seq") % EVERY == 0)).select(F.col("seq").alias("s_seq"), "term", F.col("w").alias("v"))
-    dots = unit.join(known, "term").where(~((F.col("lo") == 0) & (F.col("seq") == F.col("s_seq")))).groupBy(*KEY, "s_seq").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("cosine"))
-    return dots.where("cosine >= 0.5")
+    return F.concat(*(every(n) for n in range(1, most + 1)))
+
+
+def dots(windows: DataFrame) -> DataFrame:
+    """(seq, lo, s_seq, cosine): TF-IDF vectors of 1- to 3-grams, smoothed inverse frequencies, unit length: windows with the signatures that share a term."""
+    counts = windows.select(F.struct(*KEY).alias("id"), F.explode(terms()).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    unit = clusters.unit_vectors(counts).select("id.*", "term", "w")
+    known = unit.where("lo = 0").join(F.broadcast(signatures(windows)), F.col("seq") == F.col("s_seq")).select("s_seq", "term", F.col("w").alias("v"))
+    met = unit.join(F.broadcast(known), "term").where(~((F.col("lo") == 0) & (F.col("seq") == F.col("s_seq"))))  # the library is bounded
+    return met.groupBy(*KEY, "s_seq").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("cosine"))
+
+
+def gadget_clusters(windows: DataFrame, least: float = 0.7) -> DataFrame:
+    """(seq, lo, m_seq, m_lo): greedy clusters of windows by the cosine of their TF-IDF vectors of 1- and 2-grams: leader and member, lone windows with themselves."""
+    found = clusters.clustered(windows.select(F.struct(*KEY).alias("id"), terms(2).alias("terms")), "terms", least)
+    return found.select(F.col("leader.seq").alias("seq"), F.col("leader.lo").alias("lo"), F.col("member.seq").alias("m_seq"), F.col("member.lo").alias("m_lo"))
+
+
+def similar_windows(windows: DataFrame, least: float = 0.7) -> DataFrame:
+    """(seq, lo, t_seq, t_lo, cosine, copies, t_copies): all pairs of windows, an earlier and a later one, with a cosine of ``least`` and more.
+
+    Windows of the same 1- and 2-grams are one, the first of them, with their number.
+    """
+    _, found = clusters.classes(windows.select(F.struct(*KEY).alias("id"), terms(2).alias("terms")), "terms")
+    of = lambda k, name: found.select(F.col("id").alias(k), F.col("times").alias(name))
+    both = clusters.class_pairs(found, least).join(of("a", "copies"), "a").join(of("b", "t_copies"), "b")
+    return both.select("a.seq", "a.lo", F.col("b.seq").alias("t_seq"), F.col("b.lo").alias("t_lo"), "cosine", "copies", "t_copies")
 
 
 def profiles(windows: DataFrame) -> DataFrame:
@@ -128,7 +182,11 @@ QUERIES = {
     "jaccard_pairs": _of(lambda w: measured(w).select(*KEY, "s_seq", *(F.round(f"j{n}", 6).alias(f"j{n}") for n in NS), F.round("ngram", 6).alias("ngram"))),
     "graph_similarity": _of(lambda w: measured(w).select(*KEY, "s_seq", F.round("graph", 6).alias("graph"))),
     "combined_rank": _of(lambda w: combined(measured(w))),
-    "tfidf_cosine": _of(tfidf_cosine),
+    "tfidf_cosine": _of(lambda w: dots(w).where("cosine >= 0.5")),
+    "alignment_pairs": _of(lambda w: aligned(w).select(*KEY, "s_seq", F.round("alignment", 6).alias("alignment"), F.round("lcs", 6).alias("lcs"))),
+    "candidate_rank": _of(ranked),
+    "similar_windows": _of(similar_windows),
+    "gadget_clusters": _of(gadget_clusters),
     "opcode_profiles": _of(lambda w: profiles(w).select("kind", "op", F.round("share", 6).alias("share"))),
     "profile_cosine": _of(profile_cosine),
     "robust_similarity": _of(lambda w: robust(measured(w))),
@@ -138,18 +196,22 @@ QUERIES = {
 _OPS = r"""op AS (SELECT seq, lo, i, replace(lower(regexp_extract(line, '^\s*(\S+)', 1)), ',', '') AS op FROM aw)"""
 
 
+_LIB = f"lib AS (SELECT seq AS s FROM sh WHERE lo = 0 ORDER BY md5(seq::VARCHAR), seq LIMIT {LIBRARY})"
+
+
 def _head() -> str:
     from fenceline.operators.listings import _SEMTYPE
 
     return f"""WITH {WINDOWS}, {_OPS}, sh AS (SELECT seq, lo, list(op ORDER BY i) AS ops, list({_SEMTYPE} ORDER BY i) AS ks FROM op GROUP BY ALL),
       g AS (SELECT DISTINCT seq, lo, n, array_to_string(ops[i:i + n - 1], '::') AS gram FROM (SELECT seq, lo, ops, n, unnest(range(1, len(ops) - n + 2)) AS i FROM sh, range(2, 6) t(n))),
-      lib AS (SELECT seq AS s FROM sh WHERE lo = 0 AND seq % {EVERY} = 0),
+      {_LIB},
       pr AS (SELECT DISTINCT a.seq, a.lo, b.seq AS s_seq FROM g a JOIN g b ON a.n = 3 AND b.n = 3 AND a.gram = b.gram JOIN lib ON lib.s = b.seq AND b.lo = 0 WHERE NOT (a.lo = 0 AND a.seq = b.seq)),
       nc AS (SELECT seq, lo, n, count(*) AS c FROM g GROUP BY ALL), cc AS (SELECT pr.seq, pr.lo, s_seq, a.n, count(*) AS c FROM pr JOIN g a ON a.seq = pr.seq AND a.lo = pr.lo JOIN g b ON b.seq = s_seq AND b.lo = 0 AND a.n = b.n AND a.gram = b.gram GROUP BY ALL),
       jn AS (SELECT pr.seq, pr.lo, pr.s_seq, x.n, coalesce(cc.c, 0) / (x.c + y.c - coalesce(cc.c, 0)) AS j FROM pr JOIN nc x ON x.seq = pr.seq AND x.lo = pr.lo JOIN nc y ON y.seq = s_seq AND y.lo = 0 AND x.n = y.n
         LEFT JOIN cc ON cc.seq = pr.seq AND cc.lo = pr.lo AND cc.s_seq = pr.s_seq AND cc.n = x.n),
       je AS (SELECT seq, lo, s_seq, max(j) FILTER (n = 2) AS j2, max(j) FILTER (n = 3) AS j3, max(j) FILTER (n = 4) AS j4, max(j) FILTER (n = 5) AS j5, sum(j * n) / 14 AS ngram FROM jn GROUP BY ALL),
-      ed AS (SELECT seq, lo, list_distinct(list_transform(range(1, len(ks)), lambda i: ks[i] || '::' || ks[i + 1])) AS es, list_distinct(ks) AS kinds, list_distinct(ops) AS os FROM sh),
+      ed AS (SELECT seq, lo, list_concat(CASE WHEN len(ks) > 1 THEN ['sequential'] ELSE [] END, CASE WHEN len(list_filter(range(1, len(ks) + 1), lambda i: ks[i] = 'BRANCH' AND list_has_any(ks[i + 2:i + 9], ['LOAD', 'STORE', 'COMPUTE']))) > 0 THEN ['branch'] ELSE [] END) AS es,
+        list_distinct(ks) AS kinds, list_distinct(ops) AS os FROM sh),
       gs AS (SELECT pr.*, len(list_intersect(a.kinds, b.kinds)) / len(list_distinct(list_concat(a.kinds, b.kinds))) AS semantic, len(list_intersect(a.es, b.es)) / len(list_distinct(list_concat(a.es, b.es))) AS edges,
         len(list_intersect(a.os, b.os)) / len(list_distinct(list_concat(a.os, b.os))) AS opcodes FROM pr JOIN ed a ON a.seq = pr.seq AND a.lo = pr.lo JOIN ed b ON b.seq = s_seq AND b.lo = 0),
       ms AS (SELECT je.*, (semantic + edges) / 2 AS graph, semantic, opcodes FROM je JOIN gs USING (seq, lo, s_seq))"""
@@ -158,6 +220,8 @@ def _head() -> str:
 _TERMS = """WITH {w}, {o}, sh AS (SELECT seq, lo, list(op ORDER BY i) AS ops FROM op GROUP BY ALL),
   t AS (SELECT seq, lo, array_to_string(ops[i:i + n - 1], '::') AS term, count(*) AS tf FROM (SELECT seq, lo, ops, n, unnest(range(1, len(ops) - n + 2)) AS i FROM sh, range(1, 4) t(n)) GROUP BY ALL)"""
 _T = _TERMS.format(w=WINDOWS, o=_OPS)
+_UNIT = """n AS (SELECT count(*) AS n FROM sh), f AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY term), w AS (SELECT seq, lo, term, tf * idf AS w FROM t JOIN f USING (term)),
+      u AS (SELECT seq, lo, term, w / sqrt(sum(w * w) OVER (PARTITION BY seq, lo)) AS w FROM w)"""
 ORACLES = {
     "jaccard_pairs": f"{_head()} SELECT seq, lo, s_seq, round(j2, 6) AS j2, round(j3, 6) AS j3, round(j4, 6) AS j4, round(j5, 6) AS j5, round(ngram, 6) AS ngram FROM je",
     "graph_similarity": f"{_head()} SELECT seq, lo, s_seq, round(graph, 6) AS graph FROM ms",
@@ -166,9 +230,11 @@ ORACLES = {
     "reference_bonus": f"{_head()} SELECT seq, lo, round(max(opcodes) * 0.2, 6) AS bonus FROM ms WHERE seq % 2 = s_seq % 2 GROUP BY ALL",
     "fuzzy_match": f"""{_head()}, p AS (SELECT pr.seq, pr.lo, s_seq, a.ops AS x, b.ops AS y, a.ks AS u, b.ks AS v FROM pr JOIN sh a ON a.seq = pr.seq AND a.lo = pr.lo JOIN sh b ON b.seq = s_seq AND b.lo = 0 WHERE len(a.ops) = len(b.ops))
       SELECT seq, lo, s_seq, round((len(list_filter(range(1, len(x) + 1), lambda i: x[i] = y[i])) * 0.7 + len(list_filter(range(1, len(x) + 1), lambda i: u[i] = v[i])) * 0.3) / len(x), 6) AS score FROM p""",
-    "tfidf_cosine": f"""{_T}, n AS (SELECT count(*) AS n FROM sh), f AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY term), w AS (SELECT seq, lo, term, tf * idf AS w FROM t JOIN f USING (term)),
-      u AS (SELECT seq, lo, term, w / sqrt(sum(w * w) OVER (PARTITION BY seq, lo)) AS w FROM w), d AS (SELECT a.seq, a.lo, b.seq AS s_seq, round(sum(a.w * b.w), 5) AS cosine FROM u a JOIN u b ON a.term = b.term AND b.lo = 0 AND b.seq % {EVERY} = 0 WHERE NOT (a.lo = 0 AND a.seq = b.seq) GROUP BY ALL)
+    "tfidf_cosine": f"""{_T}, {_LIB}, {_UNIT}, d AS (SELECT a.seq, a.lo, b.seq AS s_seq, round(sum(a.w * b.w), 5) AS cosine FROM u a JOIN u b ON a.term = b.term AND b.lo = 0 JOIN lib ON lib.s = b.seq WHERE NOT (a.lo = 0 AND a.seq = b.seq) GROUP BY ALL)
       SELECT * FROM d WHERE cosine >= 0.5""",
+    "similar_windows": f"""{_T.replace("range(1, 4)", "range(1, 3)")}, {_UNIT}, bag AS (SELECT seq, lo, list(term || '*' || tf ORDER BY term) AS b FROM t GROUP BY ALL), one AS (SELECT min((seq, lo)) AS k, count(*) AS copies FROM bag GROUP BY b),
+      v AS (SELECT u.*, copies FROM u JOIN one ON k = (seq, lo)), d AS (SELECT a.seq, a.lo, b.seq AS t_seq, b.lo AS t_lo, round(sum(a.w * b.w), 5) AS cosine, a.copies, b.copies AS t_copies FROM v a JOIN v b ON a.term = b.term AND (a.seq, a.lo) < (b.seq, b.lo) GROUP BY ALL)
+      SELECT * FROM d WHERE cosine >= 0.7""",
     "opcode_profiles": f"WITH {WINDOWS}, {_OPS}, c AS (SELECT seq % 4 AS kind, op, count(*) AS c FROM op GROUP BY ALL) SELECT kind, op, round(c / sum(c) OVER (PARTITION BY kind), 6) AS share FROM c",
     "profile_cosine": f"""WITH {WINDOWS}, {_OPS}, c AS (SELECT seq % 4 AS kind, op, count(*) AS c FROM op GROUP BY ALL), p AS (SELECT kind, op, c / sum(c) OVER (PARTITION BY kind) AS share FROM c), o AS (SELECT seq, lo, op, count(*) AS c FROM op GROUP BY ALL),
       a AS (SELECT seq, lo, sqrt(sum(c * c)) AS a FROM o GROUP BY ALL), b AS (SELECT kind, sqrt(sum(share * share)) AS b FROM p GROUP BY ALL), d AS (SELECT seq, lo, kind, sum(c * share) AS dot FROM o JOIN p USING (op) GROUP BY ALL),
