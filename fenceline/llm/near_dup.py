@@ -14,9 +14,10 @@ Plan
    classes the head of its largest one, which is the class with the most bucket mates in all bands (in a group of copies
    most likely the text they come from). A class takes the head that most of its buckets offer and that it has not been
    held against, so a turn tests one pair a class at most. Pairs are confirmed on full sets and connected.
-4. What then still shares a bucket with another component is joined by an exact prefix filter on its rarest shingles
-   (``prefix_pairs``), bucket mates or not, and confirmed on full sets. So a bucket is a star first and loses no link after,
-   and texts on one template below the threshold, however many share their buckets, make no pairs.
+4. What then still shares a bucket across components is paired too, but for classes without a mate by an exact prefix filter
+   on their rarest shingles (``prefix_mates``) and for pairs that cannot reach the threshold because of their sizes, or because
+   too few of a class's shingles occur anywhere else among these candidates (both exact bounds). So a bucket is a star first
+   and loses no link after, and texts on one template below the threshold, however many share a bucket, make no pairs.
 
 Nothing is collected; joins on a class or a bucket are plain shuffles that adaptive execution can split when skewed.
 
@@ -220,7 +221,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, per
             if not found.isEmpty():
                 labels = _joined(labels, found)
                 labelled = _labelled(shared, labels)
-        later = _across(written(labelled, "labelled"), sets, percent)
+        later = _across(written(labelled, "labelled"), classes, sets, percent, close)
         if later is not None:
             labels = _joined(labels, later)
     named = classes.select("set_key", "first")
@@ -274,39 +275,63 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.withColumn(mark, _mark(id_col, text_col)).join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of the classes in ``sets`` (set_key, n, label, shingles) that may reach the threshold and have different labels.
+def prefix_mates(sets: DataFrame, percent: int) -> DataFrame:
+    """(set_key, elsewhere): those classes of ``sets`` (set_key, n, label, shingles) that may be linked with one of another label.
 
-    Exact prefix filter. With shingles in order of how many of these sets hold them, two sets with an intersection of at
-    least m share one of the first n - m + 1 of each. At the threshold, with t = percent / 100, the larger set meets t of its own size
-    and the smaller one 2t / (1 + t) of its own; so the smaller set offers a shorter prefix than the larger one asks with. A
-    shingle that no other set holds makes no pair but takes its place in the prefix: texts that share a template below the
-    threshold differ in more of their rarest shingles than the prefix is long, and meet nowhere.
+    ``elsewhere`` is how many of a class's shingles occur in other classes. Exact prefix filter: with shingles in order of how many of these
+    sets hold them, two sets with an intersection of at least m share one of the first n - m + 1 of each. At the threshold,
+    with t = percent / 100, the larger set meets t of its own size and the smaller one 2t / (1 + t) of its own; so the smaller
+    set offers a shorter prefix than the larger one asks with. A shingle that no other set holds takes its place in the prefix:
+    texts that share a template below the threshold differ in more of their rarest shingles than the prefix is long, and have no
+    mates. Which labels offer and ask for a shingle is one small aggregate a shingle; no pairs are made.
     """
     every = sets.select("set_key", F.explode("shingles").alias("shingle"))
     often = every.groupBy("shingle").agg(F.count("*").alias("of")).where("of > 1")
     found = every.join(often, "shingle").groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct("of", "shingle"))).alias("common"))
-    n = F.col("n")
-    asks = n - F.ceil(percent * n / 100).cast("long") + 1
-    offers = n - F.ceil(2 * percent * n / (100 + percent)).cast("long") + 1
-    ranked = sets.select("set_key", "n", "label").join(found, "set_key")
-    ranked = ranked.withColumn("alone", n - F.size("common")).withColumns({"asks": F.greatest(F.lit(0), asks - F.col("alone")), "offers": F.greatest(F.lit(0), offers - F.col("alone"))})
-    ranked = written(ranked.where("asks > 0").select("set_key", "n", "label", "offers", F.slice("common", 1, F.col("asks").cast("int"))["shingle"].alias("first")), "prefixes")
-    side = lambda k, of: ranked.select(F.col("set_key").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"l_{k}"), F.explode(of).alias("shingle"))
-    small, large = side("x", F.slice("first", 1, F.col("offers").cast("int"))), side("y", F.col("first"))
-    near = (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & (F.col("l_x") != F.col("l_y"))
-    return small.join(large, "shingle").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _across(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    n, alone = F.col("n"), F.col("n") - F.size("common")
+    asks = n - F.ceil(percent * n / 100).cast("long") + 1 - alone
+    offers = n - F.ceil(2 * percent * n / (100 + percent)).cast("long") + 1 - alone
+    ranked = sets.select("set_key", "n", "label").join(found, "set_key").withColumns({"asks": asks, "offers": offers}).where("asks > 0")
+    first = F.slice("common", 1, F.col("asks").cast("int"))["shingle"]
+    ranked = written(ranked.select("set_key", "label", F.size("common").cast("long").alias("elsewhere"), "offers", F.posexplode(first).alias("at", "shingle")), "prefixes")
+    offered = F.col("at") < F.col("offers")
+    own = ranked.withColumn("offered", F.when(offered, F.col("label")))
+    sides = own.groupBy("shingle").agg(F.min("label").alias("a0"), F.max("label").alias("a1"), F.min("offered").alias("o0"), F.max("offered").alias("o1")).where("a0 != a1 AND o0 IS NOT NULL")
+    other = lambda low, high: (F.col(low) != F.col("label")) | (F.col(high) != F.col("label"))
+    met = own.join(sides, "shingle").where(other("o0", "o1") | (F.col("offered").isNotNull() & other("a0", "a1")))
+    return met.select("set_key", "elsewhere").distinct()
+
+
+def _across(labelled: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, close) -> DataFrame | None:
     """Links between components that still meet in a bucket; None when no bucket holds two."""
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-    open_ = labelled.join(mixed, "band", "left_semi").select("set_key", "n", "label").distinct()
-    whole = written(sets.join(open_, "set_key"), "open")
-    if whole.isEmpty():
+    parts = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
+    mains = parts.groupBy("band").agg(F.max(F.struct("size", "label")).alias("main"), F.count("*").alias("n_labels")).where("n_labels > 1")
+    mixed = written(labelled.join(mains.select("band", F.col("main.label").alias("main")), "band"), "mixed")
+    if mixed.isEmpty():
         return None
-    pairs = written(prefix_pairs(whole, percent), "pairs")
-    return written(_confirmed(pairs, whole, percent), "later")
+    open_ = sets.join(mixed.select("set_key", "n", "label").distinct(), "set_key")
+    mates = written(prefix_mates(open_, percent), "mates")
+    mixed = written(mixed.join(mates, "set_key"), "mated")
+    less = mixed.where(F.col("label") != F.col("main")).select("band", F.col("set_key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("elsewhere").alias("ex"))
+    other = mixed.select("band", F.col("set_key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("elsewhere").alias("ey"))
+    bound = _reaches(F.least("ex", "ey"), F.col("nx"), F.col("ny"), percent)
+    may = (F.col("lx") != F.col("ly")) & close(F.col("nx"), F.col("ny")) & bound
+    near = F.col("x.band") == F.col("y.band")
+    less = written(less.where(100 * F.col("ex") >= percent * F.col("nx")), "less")
+    other = written(other.alias("y").join(less.alias("x"), near & may, "left_semi"), "other")
+    less = less.alias("x").join(other.alias("y"), near & may, "left_semi")
+    whole = sets.join(classes.select("set_key", "bands"), "set_key")
+    left = less.join(whole.select(F.col("set_key").alias("x"), F.col("shingles").alias("of_x"), F.col("bands").alias("bands_x")), "x")
+    right = other.join(whole.select(F.col("set_key").alias("y"), F.col("shingles").alias("of_y"), F.col("bands").alias("bands_y")), "y")
+    first = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("x.band")  # a pair is met once, whatever it shares
+    common = F.size(F.array_intersect("of_x", "of_y")).cast("long")
+    links = (
+        left.alias("x")
+        .join(right.alias("y"), near & may & first & _reaches(common, F.col("nx"), F.col("ny"), percent))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
+    return written(links, "later")
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
