@@ -32,6 +32,7 @@ from fenceline.functions import instructions, nodes
 from fenceline.operators import alignment, measures
 from fenceline.operators.similarity import LIBRARY
 from fenceline.plans.assembly_analog import WINDOWS, code_windows
+from fenceline.plans.steps import settled
 
 KEY = ("seq", "lo")
 # The features in their places (the rest of 64 is zero), how far dependences reach, the weights of two signatures' similarity, the least score of a detection.
@@ -75,7 +76,7 @@ def _share(test: Column) -> Column:
 
 def signatures(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     """(seq, lo, arch, ops, branches, memory, dependences, <features>): a row a window of ``least`` lines and more."""
-    rows = marked(lines)
+    rows = settled(marked(lines))  # read by four aggregates; its flags are long expressions
     f = lambda name: F.col(f"f.{name}")
     n = lambda test: F.sum(test.cast("int"))
     branch = F.when(f("is_branch"), F.concat("op", F.when(f("is_conditional"), "_COND").otherwise(""), F.when(f("is_indirect"), "_INDIRECT").otherwise("")))
@@ -271,7 +272,7 @@ def detected(found: DataFrame) -> DataFrame:
 
 
 def _signatures(s, d) -> DataFrame:
-    return signatures(code_windows(s, d))
+    return settled(signatures(code_windows(s, d)))  # read by every detector
 
 
 QUERIES = {
