@@ -91,8 +91,10 @@ def failure(rule: Rule, ops: Column) -> Column:
 
 def cut_windows(rows: DataFrame, size: int, step: int) -> DataFrame:
     """(seq, lo, ops): whole windows of ``size`` operations, every ``step`` positions."""
-    frame = _seq().rowsBetween(0, size - 1)
-    return rows.withColumn("ops", F.collect_list("op").over(frame)).where((F.col("pos") % step == 0) & (F.size("ops") == size)).select("seq", F.col("pos").alias("lo"), "ops")
+    own = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("pos") - (size - 1)) / step)), F.floor(F.col("pos") / step))  # empty between windows
+    each = rows.where(F.col("pos") % step < size).select("seq", "pos", "op", F.explode(F.transform(own, lambda k: k * step)).alias("lo"))
+    lists = each.groupBy("seq", "lo").agg(F.array_sort(F.collect_list(F.struct("pos", "op"))).alias("s")).where(F.size("s") == size)
+    return lists.select("seq", "lo", F.transform("s", lambda x: x["op"]).alias("ops"))
 
 
 RULES = (

@@ -42,11 +42,36 @@ def stratified(rows: DataFrame, share_percent: int = 20, seed: int = 42) -> Data
 
 def grouped(rows: DataFrame, k: int = 4, cap: int = 10, seed: int = 42) -> DataFrame:
     """(id, group, split): ``k`` groups go to test whole, and of every group only ``cap`` rows are taken."""
-    groups = rows.groupBy("group").agg(F.count("*").alias("n"))
-    ranked = groups.withColumn("nth", F.row_number().over(Window.orderBy(chance(seed, "group"), "group")))  # a row a group
-    split = ranked.select("group", F.when(F.col("nth") <= k, F.lit("test")).otherwise(F.lit("train")).alias("split"))
-    few = rows.withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy(chance(seed), "id"))).where(F.col("nth") <= cap)
-    return few.join(split, "group").select("id", "group", "split")
+    test = rows.select("group").where("group IS NOT NULL").distinct().orderBy(chance(seed, "group"), "group").limit(k).withColumn("split", F.lit("test"))  # k rows
+    few = rows.where("group IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy(chance(seed), "id"))).where(F.col("nth") <= cap)
+    return few.join(F.broadcast(test), "group", "left").select("id", "group", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def group_labels(rows: DataFrame) -> DataFrame:
+    """(group, label, confidence): each group's label of the largest confidence, of equals the first by ``id``; so a group in two classes is in one. Null groups are none."""
+    best = F.max_by(F.struct("label", "confidence"), F.struct("confidence", -F.col("id")))
+    return rows.where("group IS NOT NULL AND confidence IS NOT NULL").groupBy("group").agg(best.alias("b")).select("group", "b.label", "b.confidence")
+
+
+def class_quotas(rows: DataFrame, k: int = 3, cap: int = 10, unknown: str = "UNKNOWN", seed: int = 42) -> DataFrame:
+    """(id, group, label, confidence, split): of each class the first ``k`` groups in the order of md5(seed || group) go to test whole, the others to train; ``cap`` rows a group, first ids first.
+
+    ``rows`` has id (a number), group, label and confidence. A group belongs to the class of its most confident row; those of the class ``unknown`` and of none are
+    left out. A class's rank limit cuts each task's groups before the shuffle, so no task numbers all groups, and a class may hold any share of them.
+    """
+    groups = group_labels(rows).where((F.col("label") != unknown) & F.col("label").isNotNull())
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(chance(seed, "group"), "group"))
+    test = groups.withColumn("nth", nth).where(F.col("nth") <= k).select("group", F.lit("test").alias("split"))
+    few = rows.withColumn("own", F.row_number().over(Window.partitionBy("group").orderBy("id"))).where(F.col("own") <= cap).select("id", "group")
+    return few.join(groups, "group").join(test, "group", "left").select("id", "group", "label", "confidence", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def scored_groups(spark, sf_dir: str) -> DataFrame:
+    """(id, group, label, confidence): documents of a source and site of it, labelled with their language, as sure as their share of letters of one kind; the longest are UNKNOWN."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    group = F.concat_ws("/", "source", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2))
+    label = F.when(F.col("n_chars") > 4000, "UNKNOWN").otherwise(F.col("lang"))
+    return docs.select(F.col("doc_id").alias("id"), group.alias("group"), label.alias("label"), F.round(F.col("n_chars") % 1000 / 1000, 6).alias("confidence"))
 
 
 def balanced(rows: DataFrame, target: int, seed: int = 42) -> DataFrame:
@@ -92,6 +117,7 @@ QUERIES = {
     "stratified_split": lambda s, d: stratified(labelled(s, d)),
     "group_split": lambda s, d: grouped(labelled(s, d)),
     "balance_target": lambda s, d: balanced(labelled(s, d), 150),
+    "class_group_split": lambda s, d: class_quotas(scored_groups(s, d)),
     "contrastive_pairs": lambda s, d: contrastive(labelled(s, d)),
     "class_weights": lambda s, d: class_weights(labelled(s, d)),
 }
@@ -103,6 +129,9 @@ ORACLES = {
     "group_split": f"""WITH {_L}, g AS (SELECT "group", row_number() OVER (ORDER BY md5('42|' || "group"), "group") AS nth FROM (SELECT DISTINCT "group" FROM lab)),
       f AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY md5('42|' || id), id) <= 10)
       SELECT id, f."group", CASE WHEN nth <= 4 THEN 'test' ELSE 'train' END AS split FROM f JOIN g ON f."group" = g."group" """,
+    "class_group_split": """WITH r AS (SELECT doc_id AS id, source || '/' || md5(doc_id::VARCHAR)[1:2] AS g, CASE WHEN n_chars > 4000 THEN 'UNKNOWN' ELSE lang END AS label, round(n_chars % 1000 / 1000, 6) AS confidence FROM documents),
+      b AS (SELECT DISTINCT ON (g) g, label, confidence FROM r ORDER BY g, confidence DESC, id), c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || g), g) AS nth FROM b WHERE label <> 'UNKNOWN'),
+      f AS (SELECT id, g FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY id) <= 10) SELECT id, g AS "group", label, confidence, CASE WHEN nth <= 3 THEN 'test' ELSE 'train' END AS split FROM f JOIN c USING (g)""",
     "balance_target": f"""WITH {_L}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) AS nth, count(*) OVER (PARTITION BY label) AS n FROM lab)
       SELECT id, label, ((t - 1) // n)::INT AS copy FROM r, range(1, 151) AS x(t) WHERE (t - 1) % n = nth - 1""",
     "contrastive_pairs": f"""WITH {_L}, p AS (SELECT id AS a, lead(id) OVER (PARTITION BY "group" ORDER BY id) AS b, 1 AS same FROM lab),

@@ -13,10 +13,14 @@ def _seq():
 
 
 def anchored(rows: DataFrame, anchor: Column, before: int, after: int, least: int = 1) -> DataFrame:
-    """(seq, anchor, lo, hi, ops): the slice from ``before`` rows before to ``after`` rows after each anchor row."""
-    frame = _seq().rowsBetween(-before, after)
-    found = rows.withColumn("ops", F.collect_list("op").over(frame)).withColumn("lo", F.min("pos").over(frame)).withColumn("hi", F.max("pos").over(frame))
-    return found.where(anchor & (F.size("ops") >= least)).select("seq", F.col("pos").alias("anchor"), "lo", "hi", F.array_join("ops", " ").alias("ops"))
+    """(seq, anchor, lo, hi, ops): the slice from ``before`` rows before to ``after`` rows after each anchor row.
+
+    Only anchors ask for places, which meet rows by equality; positions are numbers without gaps. Null operations are left out of the text and count as rows.
+    """
+    asked = rows.where(anchor).select("seq", F.col("pos").alias("anchor"), F.explode(F.sequence(F.col("pos") - before, F.col("pos") + after)).alias("pos"))
+    met = asked.join(rows.select("seq", "pos", "op"), ["seq", "pos"]).groupBy("seq", "anchor")
+    found = met.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "op"))).alias("s"))
+    return found.where(F.col("n") >= least).select("seq", "anchor", "lo", "hi", F.array_join(F.transform("s", lambda x: x["op"]), " ").alias("ops"))
 
 
 def sliding(rows: DataFrame, sizes: list[int], step: int) -> DataFrame:
