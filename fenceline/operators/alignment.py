@@ -43,18 +43,38 @@ def lcs_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~state).sum(axis=1).astype(np.int64)
 
 
+def _runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(pairs, n, m): the length of the common run that ends at two places."""
+    (b, n), m = x.shape, y.shape[1]
+    runs = np.zeros((b, n, m), np.int16)
+    for i in range(n):
+        same = x[:, i, None] == y
+        runs[:, i] = same
+        if i:
+            runs[:, i, 1:] += np.where(same[:, 1:], runs[:, i - 1, :-1], 0).astype(np.int16)
+    return runs
+
+
+def longest_blocks(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start in x, start in y) of the longest common block of each pair of rows, of equals the earliest in x and then in y."""
+    b, n, m = len(x), x.shape[1], y.shape[1]
+    out = np.zeros((3, b), np.int64)
+    step = max(1, CELLS // max(1, n * m))
+    for k in range(0, b if n and m else 0, step):
+        flat = _runs(x[k : k + step], y[k : k + step]).reshape(-1, n * m)
+        at = flat.argmax(axis=1)
+        size = flat[np.arange(len(flat)), at].astype(np.int64)
+        out[:, k : k + step] = size, at // m + 1 - size, at % m + 1 - size
+    return tuple(out)
+
+
 def block_sizes(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """The total size of the matching blocks of each pair of rows."""
     b, n, m = len(x), x.shape[1], y.shape[1]
     total = np.zeros(b, np.int64)
     if not b or not n or not m:
         return total
-    runs = np.zeros((b, n, m), np.int16)  # the common run that ends at two places
-    for i in range(n):
-        same = x[:, i, None] == y
-        runs[:, i] = same
-        if i:
-            runs[:, i, 1:] += np.where(same[:, 1:], runs[:, i - 1, :-1], 0).astype(np.int16)
+    runs = _runs(x, y)
     i, j = np.arange(n)[None, :, None], np.arange(m)[None, None, :]
     regions = np.stack((np.arange(b), np.zeros(b, np.int64), nx, np.zeros(b, np.int64), ny), axis=1)
     step = max(1, CELLS // (n * m))
@@ -87,12 +107,18 @@ def _coded(lists: pa.ListArray, codes: np.ndarray, pad: int) -> tuple[np.ndarray
     return out, sizes
 
 
-def measured(x: pa.ListArray, y: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(alignment, lcs) of each pair: the matching-block ratio, and the longest common subsequence over the longer list."""
+def coded(x: pa.ListArray, y: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both columns as padded code matrices under one coding, and their lists' lengths."""
     flat = [pc.list_flatten(x), pc.list_flatten(y)]
     codes = pa.concat_arrays([f.cast(pa.string()) for f in flat]).dictionary_encode(null_encoding="encode").indices.to_numpy()
     a, na = _coded(x, codes[: len(flat[0])], -1)
     b, nb = _coded(y, codes[len(flat[0]) :], -2)
+    return a, b, na, nb
+
+
+def measured(x: pa.ListArray, y: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(alignment, lcs) of each pair: the matching-block ratio, and the longest common subsequence over the longer list."""
+    a, b, na, nb = coded(x, y)
     both, longer = na + nb, np.maximum(na, nb)
     plain = nb < POPULAR_FROM
     blocks = np.zeros(len(na))
