@@ -28,21 +28,22 @@ def detections(rows: DataFrame) -> DataFrame:
     return found.select("seq", "lo", "hi", kind.alias("type"), best.alias("confidence"))
 
 
-def suppressed(found: DataFrame, overlap: float = 0.5, most: int = 20, stretch: int = 64) -> DataFrame:
-    """Greedy overlap suppression within each ``seq``: best first, dropped if it overlaps a kept span by more than ``overlap`` of the shorter; the best ``most`` stay.
+def suppressed(found: DataFrame, overlap: float = 0.5, most: int = 20, stretch: int = 64, keys: tuple[str, ...] = ("confidence",), same_type: bool = False) -> DataFrame:
+    """Greedy overlap suppression within each ``seq``: best first by ``keys``, then by place and type, dropped if it overlaps a kept span (with ``same_type``, one of its type) by more than ``overlap`` of the shorter; the best ``most`` stay.
 
     Done in rounds: a span that is better than all undecided spans it clashes with is kept, those it clashes with are
     dropped. That is the greedy choice, without one task for a sequence. Clashes are an equi-join on stretches of
     ``stretch`` positions; a span is in all stretches that it touches, so spans of any length that overlap meet in one.
     Spans alike in all columns count once.
     """
-    order = [F.col("confidence").desc(), "lo", "hi", "type"]
-    spans = found.distinct().withColumn("rank", F.struct(-F.col("confidence"), "lo", "hi", "type"))
+    order = [*(F.col(k).desc() for k in keys), "lo", "hi", "type"]
+    spans = found.distinct().withColumn("rank", F.struct(*((-F.col(k)).alias(k) for k in keys), "lo", "hi", "type"))
     parts = F.explode(F.sequence(F.floor(F.col("lo") / stretch), F.floor(F.col("hi") / stretch)))
     a, b = spans.select("*", parts.alias("part")).alias("a"), spans.select("*", parts.alias("part")).alias("b")
     shared = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
     shorter = F.greatest(F.lit(1), F.least(F.col("a.hi") - F.col("a.lo"), F.col("b.hi") - F.col("b.lo")))
-    clash = (F.col("a.seq") == F.col("b.seq")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rank") < F.col("b.rank")) & (shared > F.lit(overlap) * shorter)
+    alike = (F.col("a.type") == F.col("b.type")) if same_type else F.lit(True)
+    clash = alike & (F.col("a.seq") == F.col("b.seq")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rank") < F.col("b.rank")) & (shared > F.lit(overlap) * shorter)
     clashes = settled(a.join(b, clash).select(F.col("a.seq").alias("seq"), F.col("a.rank").alias("better"), F.col("b.rank").alias("worse")).distinct())
     open_, kept = settled(spans.select("seq", "rank")), None
     while not open_.isEmpty():

@@ -179,6 +179,12 @@ def vocabulary_ids(tokens: DataFrame, least: int = 2, offset: int = 2) -> DataFr
     return counts.withColumn("own", own).join(bases, "part").select("token", "n", (F.col("base") + F.col("own") + offset).alias("id"))
 
 
+def ensemble_top(found: DataFrame, most: int = 10) -> DataFrame:
+    """(seq, lo, hi, type, confidence, strength, agreement): fused detections by these three, largest first, without those that overlap a better one of their type by half; ``most`` a sequence."""
+    keys = ("confidence", "strength", "agreement")
+    return detect.suppressed(found.select("seq", "lo", "hi", "type", *keys), most=most, keys=keys, same_type=True)
+
+
 def _fused(s, d):
     return fused(detector_rows(instructions(s, d)))
 
@@ -187,7 +193,7 @@ QUERIES = {
     "gadget_classes": lambda s, d: classified(features.profiles(code_windows(s, d))),
     "keyword_classes": lambda s, d: keyword_classes(code_windows(s, d)),
     "ensemble_fusion": _fused,
-    "ensemble_top": lambda s, d: detect.suppressed(_fused(s, d).select("seq", "lo", "hi", "type", "confidence"), most=10),
+    "ensemble_top": lambda s, d: ensemble_top(_fused(s, d)),
     "validated_detections": lambda s, d: validated(_fused(s, d)),
     "consensus_full": lambda s, d: consensus_full(detect.votes(s, d)),
     "union_ranked": lambda s, d: union_ranked([detector_rows(instructions(s, d)).where(F.col("detector") == m).select("seq", "lo", "hi", "type", "detector", "confidence") for m in ("robust", "semantic")], LEAST),

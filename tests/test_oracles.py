@@ -53,6 +53,22 @@ def test_suppression_is_greedy(spark):
     assert sorted((r["lo"], r["hi"]) for r in kept) == [(100, 700), (690, 760), (900, 1500), (5000, 5000)]  # spans over many stretches
 
 
+def test_ensemble_is_ranked_by_three_keys_within_types(spark):
+    groups = {}
+    for r in catalog.QUERIES["ensemble_fusion"](spark, SF).collect():
+        groups.setdefault(r["seq"], set()).add((-r["confidence"], -r["strength"], -r["agreement"], r["lo"], r["hi"], r["type"]))
+    want = []
+    for seq, spans in groups.items():
+        kept = []
+        for span in sorted(spans):
+            lo, hi, kind = span[3:]
+            if all(kind != k or max(0, min(hi, b) - max(lo, a)) <= 0.5 * max(1, min(hi - lo, b - a)) for *_, a, b, k in kept):
+                kept.append(span)
+        want += [(seq, lo, hi, kind, -c) for c, _, _, lo, hi, kind in kept[:10]]
+    got = catalog.QUERIES["ensemble_top"](spark, SF).collect()
+    assert sorted((r["seq"], r["lo"], r["hi"], r["type"], r["confidence"]) for r in got) == sorted(want)
+
+
 def test_lcs_is_brute_force(spark):
     pairs = detect.neighbours(detect.traces(instructions(spark, SF))).collect()
     got = {(r["a"], r["b"]): r["ratio"] for r in catalog.QUERIES["lcs_ratio"](spark, SF).collect()}
