@@ -67,7 +67,8 @@ def test_empty_table(spark, n):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, SF)
         want = con.execute(sql)
