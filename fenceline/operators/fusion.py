@@ -17,8 +17,9 @@ from fenceline.operators.windows import anchored
 from fenceline.plans.analogs import BRANCH, EV, FENCE, LOAD, RET, STORE, instructions
 from fenceline.plans.assembly_analog import CODE, code, code_windows
 
-# The detectors' weights, thresholds of risk with and without the likelihood of a false positive, and the least confidence of a type.
+# The detectors' weights.
 WEIGHTS = {"robust": 0.4, "semantic": 0.35, "pattern": 0.15, "anomaly": 0.1}
+#: Defaults of our own: the least confidence of a type of the event stream.
 LEAST = {"LOAD_CHAIN": 0.7, "RETURN": 0.6, "STORE_BYPASS": 0.65}
 CLASS_SCORES = ("mds_gadget_score", "spectre_v1_score", "bhi_score", "l1tf_score", "benign_score", "retbleed_score", "inception_score")
 
@@ -83,7 +84,7 @@ def union_ranked(parts: list[DataFrame], least: dict[str, float]) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order)).select("seq", "lo", "hi", "type", "detector", "confidence", "rank")
 
 
-# Fixed values of the default gadget table: required features, opcode patterns, opcodes against, least instructions.
+#: Defaults of our own, a gadget table: required features, opcode patterns, opcodes against, least instructions.
 GADGETS = (
     ("SPECTRE_V1", ("has_bounds_check", "has_cond_branch_then_load"), ("bounds_cmp", "index_mask"), ("lfence",), 5),
     ("L1TF", ("l1tf_flush_then_access", "has_timing"), ("cache_timing", "tlb"), (), 8),
@@ -119,7 +120,7 @@ def keyword_classes(lines: DataFrame) -> DataFrame:
     return whole.select(*KEY, F.explode(F.array(*each)).alias("k")).select(*KEY, "k.type", "k.score").where("score >= 0.2")
 
 
-# Fixed values of the default keyword table.
+#: Defaults of our own, a keyword table.
 KEYWORDS = (("CACHE", ("clflush", "mfence", "rdtsc", "dc")), ("BRANCH", ("cmp", "b.hs", "jae", "ldr")), ("CALL", ("call", "bl", "ret", "leave")))
 
 

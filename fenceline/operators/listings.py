@@ -183,9 +183,7 @@ def _longest(edges: list):
     yield (max(far.values()),)
 
 
-_CONDITION = r"(?i)\bb\.(eq|ne|hs|lo|mi|pl|vs|vc|hi|ls|ge|lt|gt|le)\b"
-_BARRIER = r"(?i)\bdsb\b|\bdmb\b|\bisb\b|\bcsdb\b|hint\s*#0x14"
-_POINTER = r"(?i)\badd\s+[wx][0-9]+,\s*[wx][0-9]+,\s*[wx][0-9]+"
+_CONDITION, _BARRIER, _POINTER = (fixed.BASE_PATTERNS[k] for k in ("condition", "barrier", "pointer_arithmetic"))
 
 
 def base_features(lines: DataFrame) -> DataFrame:

@@ -33,9 +33,14 @@ ATTACK_PATTERNS = {
     "INCEPTION": (r"\bcall\b.*\n.*\bret\b", r"\bbl\b.*\n.*\bret\b"),
     "TIMING": (r"\brdtsc\b", r"\brdtscp\b", r"\bmrs\b.*cntvct"),
 }
-SUSPICION = (
-    (r"\b(jmp|call)\s+\*", 0.3), (r"\b(br|blr)\s+x", 0.3), (r"(j[a-z]+|b\.[a-z]+).*\n.*\b(mov|ldr)", 0.2), (r"\b(clflush|clflushopt|clwb|dc\s+civac)\b", 0.4), (r"\b(rdtsc|rdtscp|mrs.*cntvct)\b", 0.5), (r"\b(mfence|lfence|sfence|dmb|dsb|isb)\b", 0.1),
-)
+# Patterns counted for a window's suspicion, and what each count weighs; the sum counts by thirds.
+SUSPICION = {
+    "indirect_branches": ((r"\b(jmp|call)\s+\*", r"\b(br|blr)\s+x"), 0.3),
+    "branch_load_count": ((r"(j[a-z]+|b\.[a-z]+).*\n.*\b(mov|ldr)",), 0.2),
+    "cache_ops": ((r"\b(clflush|clflushopt|clwb|dc\s+civac)\b",), 0.4),
+    "timing_ops": ((r"\b(rdtsc|rdtscp|mrs.*cntvct)\b",), 0.5),
+    "barriers": ((r"\b(mfence|lfence|sfence|dmb|dsb|isb)\b",), 0.1),
+}
 
 
 def texts(lines: DataFrame) -> DataFrame:
@@ -59,9 +64,9 @@ def benign(lines: DataFrame, least: int = 12) -> DataFrame:
     """(seq, lo, valid, reasons, suspicion): windows long enough, without an attack's pattern, timing or cache operation, and of a suspicion of 0.5 at most."""
     found = texts(lines)
     hit = lambda patterns: F.coalesce(*(F.when(F.col("text").rlike("(?m)" + p), True) for p in patterns), F.lit(False))
-    counts = [F.regexp_count("text", F.lit(p)) for p, _ in SUSPICION]
-    suspicion = F.round(F.least(F.lit(1.0), sum((c * w for c, (_, w) in zip(counts, SUSPICION, strict=True)), F.lit(0.0)) / 3), 6)
-    reasons = [F.when(F.col("n") < least, "too_short"), *(F.when(hit(p), k) for k, p in ATTACK_PATTERNS.items()), F.when(suspicion > 0.5, "suspicious"), F.when(counts[4] > 0, "timing_ops"), F.when(counts[3] > 0, "cache_ops")]
+    counts = {k: sum((F.regexp_count("text", F.lit(p)) for p in own), F.lit(0)) for k, (own, _) in SUSPICION.items()}
+    suspicion = F.round(F.least(F.lit(1.0), sum((counts[k] * w for k, (_, w) in SUSPICION.items()), F.lit(0.0)) / 3), 6)
+    reasons = [F.when(F.col("n") < least, "too_short"), *(F.when(hit(p), k) for k, p in ATTACK_PATTERNS.items()), F.when(suspicion > 0.5, "suspicious"), F.when(counts["timing_ops"] > 0, "timing_ops"), F.when(counts["cache_ops"] > 0, "cache_ops")]
     why = F.array_compact(F.array(*reasons))
     return found.select("seq", "lo", (F.size(why) == 0).alias("valid"), F.array_join(why, ",").alias("reasons"), suspicion.alias("suspicion"))
 
@@ -84,7 +89,7 @@ def large_windows(rows: DataFrame, width: int = 10, least: int = 15) -> DataFram
     return one.unionByName(whole.select("seq", "lo", "hi", "kind")).where(F.col("hi") - F.col("lo") >= least)
 
 
-# Fixed values of the default rules of a discriminative window: required, supporting and disqualifying patterns, least score.
+#: Defaults of our own, rules of a discriminative window: required, supporting and disqualifying patterns, least score.
 DISCRIMINATIVE = (
     ("L1TF", (r"clflush|dc\s+civac", r"rdtsc|cntvct"), (r"mfence|dsb",), (r"\bcall\b",), 1.5),
     ("SPECTRE_V1", (r"cmp|test", r"jae|jb|b\.hs|b\.lo"), (r"\[.*,.*\]|\(.*,.*\)",), (r"lfence|csdb",), 2.0),
@@ -192,13 +197,13 @@ def _discriminative_sql() -> str:
     return f"WITH {CODE}, n AS (SELECT seq, count(*) AS total FROM co GROUP BY seq), w AS (SELECT seq, size, unnest(range(0, total - size + 1, 10)) AS lo FROM n, (VALUES (25), (35), (50)) v(size) WHERE total >= size), u AS ({' UNION ALL '.join(parts)}) SELECT seq, lo, size, kind, score FROM u WHERE score >= least"
 
 
-_SUS = " + ".join(f"len(regexp_extract_all(text, '{p}')) * {w}::DOUBLE" for p, w in SUSPICION)
+_SUS = " + ".join(f"len(regexp_extract_all(text, '{p}')) * {w}::DOUBLE" for own, w in SUSPICION.values() for p in own)
 _WHY = ", ".join(f"CASE WHEN {' OR '.join(f'''regexp_matches(text, '(?m){p}')''' for p in patterns)} THEN '{k}' END" for k, patterns in ATTACK_PATTERNS.items())
 ORACLES = {
     "utility_windows": rf"""WITH {LISTING}, {windows_sql("li")}, {_TX}, c AS (SELECT seq, lo, count(*) FILTER (trim(line) <> '' AND NOT regexp_matches(line, ':\s*$')) AS code FROM aw GROUP BY ALL)
       SELECT seq, lo, ({" OR ".join(f"starts_with(f, '{x}')" for x in UTILITY_LABELS)}) OR (code > 0 AND ({" + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in UTILITY_CALLS)}) / code > 0.3) AS utility FROM tx JOIN c USING (seq, lo)""",
     "benign_validation": f"""WITH {WINDOWS}, {_TX}, s AS (SELECT *, round(least(1, ({_SUS}) / 3), 6) AS suspicion FROM tx),
-      r AS (SELECT seq, lo, suspicion, list_filter([CASE WHEN n < 12 THEN 'too_short' END, {_WHY}, CASE WHEN suspicion > 0.5 THEN 'suspicious' END, CASE WHEN regexp_matches(text, '{SUSPICION[4][0]}') THEN 'timing_ops' END, CASE WHEN regexp_matches(text, '{SUSPICION[3][0]}') THEN 'cache_ops' END], lambda x: x IS NOT NULL) AS why FROM s)
+      r AS (SELECT seq, lo, suspicion, list_filter([CASE WHEN n < 12 THEN 'too_short' END, {_WHY}, CASE WHEN suspicion > 0.5 THEN 'suspicious' END, CASE WHEN regexp_matches(text, '{SUSPICION["timing_ops"][0][0]}') THEN 'timing_ops' END, CASE WHEN regexp_matches(text, '{SUSPICION["cache_ops"][0][0]}') THEN 'cache_ops' END], lambda x: x IS NOT NULL) AS why FROM s)
       SELECT seq, lo, len(why) = 0 AS valid, array_to_string(why, ',') AS reasons, suspicion FROM r""",
     "large_windows": f"""WITH {CODE}, {_kinds_sql().format(rows="co")}, n AS (SELECT seq, count(*) AS total FROM co GROUP BY seq), a AS (SELECT seq, pos, CASE WHEN kind IN ('FENCE', 'CACHE') THEN 30 WHEN kind = 'BRANCH_COND' THEN 20 END AS b FROM k),
       u AS (SELECT seq, greatest(0, pos - b) AS lo, least(total, pos + b + 11) AS hi, CASE b WHEN 30 THEN 'primary' ELSE 'secondary' END AS kind, pos AS o, 0 AS way FROM a JOIN n USING (seq) WHERE b IS NOT NULL

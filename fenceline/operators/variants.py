@@ -125,7 +125,7 @@ def pattern_candidates(rows: DataFrame) -> DataFrame:
     return patterns.contiguous(rows, ["p*", "*", LOAD]).join(total, "seq").select("seq", F.greatest(F.lit(0), F.col("pos") - 10).alias("lo"), F.least("last", F.col("pos") + 12).alias("hi"))
 
 
-# Fixed values of the default node-type patterns: contiguous types, and the weight of each in a class's score.
+#: Defaults of our own, node-type patterns (`semantic` has the fixed ones): contiguous types, and the weight of each in a class's score.
 TYPE_PATTERNS = {
     "compare_branch": (("COMPARE", "BRANCH_COND"), "spectre_v1", 2), "branch_indexed": (("BRANCH_COND", "LOAD_INDEXED"), "spectre_v1", 3), "indexed_load": (("LOAD_INDEXED", "LOAD"), "spectre_v1", 2), "store_load": (("STORE", "LOAD"), "spectre_v4", 3),
     "cache_load": (("CACHE", "LOAD"), "l1tf", 4), "double_fence": (("FENCE", "FENCE"), "mds", 4), "call_ret": (("CALL", "RET"), "retbleed", 3), "branch_chain": (("BRANCH_COND", "BRANCH_COND"), "bhi", 2),
