@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenceline.operators import alignment
 from fenceline.operators.ngrams import ngrams
 from fenceline.operators.windows import anchored
 from fenceline.plans.analogs import BRANCH, EV, FENCE, LOAD, RET, STORE, instructions, read, word_lists
 from fenceline.plans.steps import settled
 
+
 def risk(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "CRITICAL").when(confidence >= 0.6, "HIGH").when(confidence >= 0.4, "MEDIUM").otherwise("LOW")
 
@@ -138,21 +137,8 @@ def prefix_lengths(rows: DataFrame) -> DataFrame:
 
 
 def lcs_ratios(pairs: DataFrame) -> DataFrame:
-    """(a, b, ratio): longest common subsequence of two traces over the longer one; traces are bounded, so a call is a small table."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for x, y in zip(part["x"], part["y"], strict=True):
-                row = [0] * (len(y) + 1)
-                for u in x:
-                    last = 0
-                    for j, v in enumerate(y, 1):
-                        last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
-                out.append(round(row[-1] / max(1, len(x), len(y)), 6))
-            yield pd.DataFrame({"a": part["a"], "b": part["b"], "ratio": out})
-
-    return pairs.mapInPandas(run, "a long, b long, ratio double")
+    """(a, b, ratio): longest common subsequence of two traces over the longer one."""
+    return alignment.aligned(pairs, "x", "y").select("a", "b", F.round("lcs", 6).alias("ratio"))
 
 
 def centroid_cosine(spark, sf_dir: str) -> DataFrame:
