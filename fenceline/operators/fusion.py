@@ -96,7 +96,7 @@ GADGETS = (
 
 def classified(found: DataFrame, gadgets: tuple = GADGETS) -> DataFrame:
     """(seq, lo, type, score): .4 requirements (half off for each missing one, 0 at least), .4 patterns, .2 context, less .2 for each thing against; the first best type."""
-    flag = lambda name: F.col("text").rlike(features.fixed.TEXT_PATTERNS[name]).cast("int")
+    flag = lambda name: F.col("text").rlike(features.text_pattern(name)).cast("int")
     each = []
     for name, needs, patterns, against, least in gadgets:
         semantic = F.greatest(F.lit(0.0), sum((F.when(F.col(k) == 1, 1.0).otherwise(-0.5) for k in needs), F.lit(0.0)) / len(needs))

@@ -146,8 +146,9 @@ def type_scores(lines: DataFrame) -> DataFrame:
 def robust_best(found: DataFrame) -> DataFrame:
     """(seq, lo, winner, score): the largest class score over 0.3, of equals the first listed."""
     each = [F.struct(F.col(c).alias("score"), F.lit(-k).alias("o"), F.lit(c).alias("winner")) for k, c in enumerate(fusion.CLASS_SCORES)]
-    best = F.array_max(F.array(*each))
-    return found.select(*KEY, best["winner"].alias("winner"), best["score"].alias("score")).where("score > 0.3")
+    # A row a score and their largest by group, so that the filter below doesn't go into each score's own terms; groups stay where they are.
+    best = found.select(*KEY, F.explode(F.array(*each)).alias("s")).groupBy(*KEY).agg(F.max("s").alias("best"))
+    return best.select(*KEY, "best.winner", "best.score").where("score > 0.3")
 
 
 def samples(rows: DataFrame, cap: int = 40) -> DataFrame:
