@@ -1,9 +1,10 @@
 """Exact cosine join of sparse vectors and greedy clusters of alike ones.
 
 The join is a prefix filter: with terms in order of how many vectors hold them, a vector's prefix ends where what is left of it
-is shorter than the threshold. Two unit vectors whose prefixes share no term differ too much, as by Cauchy-Schwarz the
-rest of one, times a unit vector, stays below the threshold. So common terms, however many vectors hold them, make no candidates unless a
-vector has hardly anything else. What meets is bounded again by its prefix products, and computed whole.
+is shorter than a share of the threshold. The prefixes' product and the longer rest bound a cosine by Cauchy-Schwarz, so pairs
+that share a few rare terms, or only common ones, are no candidates. Prefixes are compared in numpy, group by group in a grid,
+and only pairs that pass become rows, which are computed whole. The time is in the pairs of prefixes that share a rare term,
+quadratic for a fixed vocabulary; memory is two groups a task.
 
 Clusters follow the sequential rule: vectors are taken in their order, one that is like no leader before it is a leader, and a leader's
 cluster is itself with all later vectors like it. It is done in rounds: whoever has no undecided neighbour before it decides.
@@ -14,6 +15,8 @@ Defined results: a vector without terms is like nothing. Null terms count as emp
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from fenceline.plans.steps import settled
 
 #: Similarities are rounded to so many places, and compared so.
 PLACES = 5
+#: What a prefix may leave, of the threshold: less makes fewer candidates of longer prefixes.
+REST = 0.75
+#: The most vectors of a group; two groups are in a task's memory.
+GROUP = 65536
 
 
 def unit_vectors(counts: DataFrame, key: str = "id", weight: str | None = None) -> DataFrame:
@@ -33,18 +40,67 @@ def unit_vectors(counts: DataFrame, key: str = "id", weight: str | None = None)
     return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _prefixes(unit: DataFrame, least: float, key: str) -> DataFrame:
+    """(key, nid, rest, terms, ws): of each vector its terms, rarest first, up to where what is left is shorter than ``REST`` of the threshold; terms are numbers."""
+    words = settled(unit.groupBy("term").agg(F.count("*").alias("df")).withColumn("tid", F.monotonically_increasing_id()))
+    order = Window.partitionBy(key).orderBy("df", "tid")
+    ranked = unit.join(words, "term").withColumn("left", 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    prefix = ranked.where(F.col("left") >= (REST * (least - 10.0**-PLACES)) ** 2)
+    shared = F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("tid", F.col("w").cast("float").alias("w")))))  # a term of one vector meets nothing
+    rows = prefix.groupBy(key).agg(F.sqrt(F.greatest(F.lit(0.0), F.min(F.col("left") - F.col("w") * F.col("w")))).alias("rest"), shared.alias("s"))
+    return settled(rows.where(F.size("s") > 0).select(key, F.monotonically_increasing_id().alias("nid"), "rest", F.col("s.tid").alias("terms"), F.col("s.w").alias("ws")))
+
+
+def _block_pairs(least: float):
+    """Of two groups of prefixes: the pairs (x, y) of their numbers, x from the first and smaller where the groups are one, that may reach ``least``."""
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            (n, rest, terms, ws, sizes), (m, other, into, vs, many) = map(_arrays, (left, right))
+            same = left["g"][0].as_py() == right["g"][0].as_py()
+            names, into = np.unique(into, return_inverse=True)  # the right group's terms, by place
+            order = np.argsort(into, kind="stable")
+            rows, vs = np.repeat(np.arange(len(m)), many)[order], vs[order]
+            begin = np.searchsorted(into[order], np.arange(len(names) + 1))
+            at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
+            known, ends = names[at] == terms, np.cumsum(sizes)
+            for i, end in enumerate(ends):
+                own = slice(end - sizes[i], end)
+                lists = [(begin[a], begin[a + 1], w) for a, w, k in zip(at[own], ws[own], known[own], strict=True) if k]
+                if not lists:
+                    continue
+                dot = np.bincount(np.concatenate([rows[a:b] for a, b, _ in lists]), np.concatenate([vs[a:b] * w for a, b, w in lists]), len(m))
+                hit = np.flatnonzero((dot > 0) & (dot + np.maximum(other, rest[i]) >= least))
+                hit = m[hit][m[hit] > n[i]] if same else m[hit]
+                xs.append(np.full(len(hit), n[i]))
+                ys.append(hit)
+        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+    return found
+
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    terms, ws = (rows[c].combine_chunks() for c in ("terms", "ws"))
+    return rows["nid"].to_numpy(), rows["rest"].to_numpy(), terms.flatten().to_numpy(), ws.flatten().to_numpy().astype(float), terms.value_lengths().to_numpy()
+
+
 def candidates(unit: DataFrame, least: float, key: str = "id") -> DataFrame:
-    """(a, b): pairs of keys, a < b, whose cosine may reach ``least``."""
-    eps = 10.0**-PLACES
-    often = unit.groupBy("term").agg(F.count("*").alias("df"))
-    order = Window.partitionBy(key).orderBy("df", "term")
-    ranked = unit.join(often, "term").withColumn("left", 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    prefix = ranked.where(F.col("left") >= (least - eps) ** 2)
-    rest = F.sqrt(F.greatest(F.lit(0.0), F.min(F.col("left") - F.col("w") * F.col("w")).over(Window.partitionBy(key))))  # what the prefix leaves
-    prefix = prefix.withColumn("rest", rest).where("df > 1").select(key, "term", "w", "rest")
-    a, b = (prefix.select(F.col(key).alias(k), "term", F.col("w").alias(f"w_{k}"), F.col("rest").alias(f"rest_{k}")) for k in "ab")
-    met = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
-    return met.where(F.col("dot") + F.col("rest") >= least - eps).select("a", "b")
+    """(a, b): pairs of keys, a < b, whose cosine may reach ``least``.
+
+    Prefixes meet in a grid of groups, so a row is shuffled once for each group and no shared term makes a row. Weights are floats there, with a margin for it.
+    """
+    rows = _prefixes(unit, least, key)
+    n = rows.count()
+    groups = max(-(-n // GROUP), min(8, -(-n // 1024)), 1)
+    own = rows.select("nid", "rest", "terms", "ws", F.pmod(F.hash("nid"), F.lit(groups)).alias("g"))
+    to = lambda a, b: F.explode(F.sequence(a, b))
+    left = own.withColumn("h", to(F.col("g"), F.lit(groups - 1))).withColumn("f", F.col("g"))
+    right = own.withColumn("f", to(F.lit(0), F.col("g"))).withColumn("h", F.col("g"))
+    met = left.groupBy("f", "h").cogroup(right.groupBy("f", "h")).applyInArrow(_block_pairs(least - 2 * 10.0**-PLACES), "x long, y long")
+    name = lambda n, k: rows.select(F.col("nid").alias(n), F.col(key).alias(k))
+    both = settled(met).join(name("x", "p"), "x").join(name("y", "q"), "y")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def similar(unit: DataFrame, least: float, key: str = "id") -> DataFrame:
