@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenceline.plans.steps import settled
@@ -58,6 +58,7 @@ def _block_pairs(least: float):
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
             (n, rest, terms, ws, sizes), (m, other, into, vs, many) = map(_arrays, (left, right))
+            sought, stated = (t["known"].to_numpy(zero_copy_only=False).astype(bool) for t in (left, right))
             same = left["g"][0].as_py() == right["g"][0].as_py()
             names, into = np.unique(into, return_inverse=True)  # the right group's terms, by place
             order = np.argsort(into, kind="stable")
@@ -71,7 +72,7 @@ def _block_pairs(least: float):
                 if not lists:
                     continue
                 dot = np.bincount(np.concatenate([rows[a:b] for a, b, _ in lists]), np.concatenate([vs[a:b] * w for a, b, w in lists]), len(m))
-                hit = np.flatnonzero((dot > 0) & (dot + np.maximum(other, rest[i]) >= least))
+                hit = np.flatnonzero((dot > 0) & (dot + np.maximum(other, rest[i]) >= least) & (stated | sought[i]))
                 hit = m[hit][m[hit] > n[i]] if same else m[hit]
                 xs.append(np.full(len(hit), n[i]))
                 ys.append(hit)
@@ -85,15 +86,15 @@ def _arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
     return rows["nid"].to_numpy(), rows["rest"].to_numpy(), terms.flatten().to_numpy(), ws.flatten().to_numpy().astype(float), terms.value_lengths().to_numpy()
 
 
-def candidates(unit: DataFrame, least: float, key: str = "id") -> DataFrame:
-    """(a, b): pairs of keys, a < b, whose cosine may reach ``least``.
+def candidates(unit: DataFrame, least: float, key: str = "id", known: Column | None = None) -> DataFrame:
+    """(a, b): pairs of keys, a < b, whose cosine may reach ``least``; one of them is ``known``, where that is given.
 
     Prefixes meet in a grid of groups, so a row is shuffled once for each group and no shared term makes a row. Weights are floats there, with a margin for it.
     """
-    rows = _prefixes(unit, least, key)
+    rows = _prefixes(unit, least, key).withColumn("known", F.lit(True) if known is None else known)
     n = rows.count()
     groups = max(-(-n // GROUP), min(8, -(-n // 1024)), 1)
-    own = rows.select("nid", "rest", "terms", "ws", F.pmod(F.hash("nid"), F.lit(groups)).alias("g"))
+    own = rows.select("nid", "rest", "terms", "ws", "known", F.pmod(F.hash("nid"), F.lit(groups)).alias("g"))
     to = lambda a, b: F.explode(F.sequence(a, b))
     left = own.withColumn("h", to(F.col("g"), F.lit(groups - 1))).withColumn("f", F.col("g"))
     right = own.withColumn("f", to(F.lit(0), F.col("g"))).withColumn("h", F.col("g"))
@@ -103,9 +104,9 @@ def candidates(unit: DataFrame, least: float, key: str = "id") -> DataFrame:
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def similar(unit: DataFrame, least: float, key: str = "id") -> DataFrame:
-    """(a, b, cosine): all pairs of keys, a < b, with a cosine of ``least`` and more."""
-    pairs = candidates(unit, least, key)
+def similar(unit: DataFrame, least: float, key: str = "id", known: Column | None = None) -> DataFrame:
+    """(a, b, cosine): all pairs of keys, a < b, with a cosine of ``least`` and more; with a ``known`` one, where that is given."""
+    pairs = candidates(unit, least, key, known)
     left = pairs.join(unit.select(F.col(key).alias("a"), "term", F.col("w").alias("v")), "a")
     both = left.join(unit.select(F.col(key).alias("b"), "term", "w"), ["b", "term"])
     return both.groupBy("a", "b").agg(F.round(F.sum(F.col("v") * F.col("w")), PLACES).alias("cosine")).where(F.col("cosine") >= least)

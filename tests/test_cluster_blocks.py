@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fenceline.operators import clusters
+from fenceline.operators import clusters, similarity
 
 from .test_similarity import plain_vectors
 
@@ -23,3 +23,11 @@ def test_shared_terms_make_no_candidates(spark, monkeypatch):
         assert {(r["a"], r["b"]): r["cosine"] for r in clusters.similar(unit, least).collect()} == {k: v for k, v in cosines.items() if v >= least}
     assert clusters.candidates(unit, 0.7).count() < 1600  # of 79,800 pairs, most of which share a term
     assert clusters.similar(unit.where("false"), 0.7).count() == 0
+
+
+def test_library_is_every_tenth_listing(spark):
+    rows = spark.createDataFrame([(seq, lo, ["ldr", "cmp", "b", f"o{seq}"]) for seq in range(400) for lo in (0, 15)], "seq long, lo long, ops array<string>")
+    assert sorted(r["s_seq"] for r in similarity.signatures(rows).collect()) == list(range(0, 400, 10))
+    few = rows.where("seq < 60")
+    want = {(r["seq"], r["lo"], r["s_seq"]): r["cosine"] for r in similarity.dots(few).collect() if r["cosine"] >= 0.5}
+    assert {(r["seq"], r["lo"], r["s_seq"]): r["cosine"] for r in similarity.close(few).collect()} == want and len({s for *_, s in want}) == 6
