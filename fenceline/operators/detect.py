@@ -99,13 +99,16 @@ def library(spark, sf_dir: str) -> DataFrame:
 def signature_matches(rows: DataFrame, known: DataFrame, n: int = 3, least: float = 0.01) -> DataFrame:
     """(id, item, jaccard): rows and signatures that share n-grams, with the Jaccard similarity of their n-gram sets.
 
-    An equi-join on n-grams, so only pairs with something in common are ever made.
+    An equi-join on n-grams, so only pairs with something in common are ever made. A row's words are shuffled once, in one
+    list, and its n-grams go no further than to the signatures'; rows of one id are one set.
     """
-    a = ngrams(rows, n).select("id", "gram").distinct()
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), "::"))
+    lists = rows.where((F.size("words") >= n) & F.col("id").isNotNull()).groupBy("id").agg(F.array_distinct(F.flatten(F.transform(F.collect_list("words"), grams))).alias("grams"))
+    a = lists.select("id", F.size("grams").alias("na"), F.explode("grams").alias("gram"))
     b = ngrams(known, n).select(F.col("id").alias("item"), "gram").distinct()
-    of_a, of_b = a.groupBy("id").agg(F.count("*").alias("na")), b.groupBy("item").agg(F.count("*").alias("nb"))
-    both = a.join(b, "gram").groupBy("id", "item").agg(F.count("*").alias("both"))
-    found = both.join(of_a, "id").join(of_b, "item").select("id", "item", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("jaccard"))
+    of_b = b.groupBy("item").agg(F.count("*").alias("nb"))
+    both = a.join(b, "gram").groupBy("id", "item").agg(F.count("*").alias("both"), F.first("na").alias("na"))
+    found = both.join(of_b, "item").select("id", "item", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("jaccard"))
     return found.where(F.col("jaccard") >= least)
 
 

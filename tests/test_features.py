@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fenceline.functions import fixed
-from fenceline.operators import features
+from fenceline.operators import detect, features
 
 WORDS = "eor xor ldrb movb movzbl lsl shl sal ldr mov clflush dc civac mfence dsb [ ] ], , str cmp test $4 #1 jae jbe ja b.hs b.ls and bic isb lea adrp rdtsc mrs cntvct lfence call callq bl ret retq sp foo x0".split()
 
@@ -36,3 +36,13 @@ def test_text_patterns_take_linear_time(spark):
     began = time.time()
     found = spark.createDataFrame([(text,)], "text string").select(*(F.col("text").rlike(features.text_pattern(n)).alias(n) for n in features._CHAINS)).first()
     assert time.time() - began < 20 and not found["return_control"] and found["terminal_fault"]
+
+
+def test_signatures_meet_each_list_once(spark):
+    rows = spark.createDataFrame([(1, "x", "a b c d a b c".split()), (1, "x", "b c d e".split()), (2, "x", ["a", "b"]), (3, "x", None), (None, "x", "a b c".split()), (4, "x", "q r s".split())], "id int, label string, words array<string>")
+    known = spark.createDataFrame([(7, "b", "a b c d".split()), (8, "b", "c d e a b c".split()), (9, "b", ["a"])], "id int, label string, words array<string>")
+    found = detect.signature_matches(rows, known)
+    one, seven, eight = {"abc", "bcd", "cda", "dab", "cde"}, {"abc", "bcd"}, {"cde", "dea", "eab", "abc"}
+    assert sorted(map(tuple, found.collect())) == [(1, i, round(len(one & s) / len(one | s), 6)) for i, s in ((7, seven), (8, eight))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id#") == 2  # of lists and of pairs, none of a row a gram
