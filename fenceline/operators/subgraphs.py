@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from fenceline.operators.graph import _DATA, _NEXT, control, data_dependence, la
 from fenceline.plans.analogs import BRANCH, EV, LOAD, STORE, instructions
 
 WIDTH, STEP, LEAST, FAR, NEAR = 30, 15, 12, 15, 4
+#: Windows that are Python objects at a time.
+SLICE = 256
 
 
 def dependences(rows: DataFrame) -> DataFrame:
@@ -55,19 +58,22 @@ def per_window(edges: DataFrame, work: Callable[[list], Iterator[tuple]], column
     """What ``work`` yields for each ``seq``'s distinct edges (src, dst), with ``seq``; ``columns`` are longs. A ``seq`` is a window of bounded size."""
     grouped = edges.groupBy("seq").agg(F.collect_set(F.struct("src", "dst")).alias("e"))
     names, kind = columns.split(), edges.schema["seq"].dataType.simpleString()
+    return grouped.select("seq", "e").mapInArrow(_sliced(work, names), f"seq {kind}, " + ", ".join(f"{c} long" for c in names))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            keys, rows = [], []
-            for seq, e in zip(part["seq"], part["e"], strict=True):
-                found = list(work([(x["src"], x["dst"]) for x in e]))
-                keys += [seq] * len(found)
-                rows += found
-            out = pd.DataFrame(rows, columns=names).astype("int64")
-            out.insert(0, "seq", keys)
-            yield out
-
-    return grouped.select("seq", "e").mapInPandas(run, f"seq {kind}, " + ", ".join(f"{c} long" for c in names))
+
+def _sliced(work: Callable[[list], Iterator[tuple]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over batches of (seq, e), ``SLICE`` windows at a time, so that a worker's Python objects are few whatever the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [list(work([(x["src"], x["dst"]) for x in e])) for e in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+                rows = np.array([r for f in found for r in f], np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *(pa.array(rows[:, c]) for c in range(len(names)))], ["seq", *names])
+
+    return run
 
 
 def _paths(edges: list) -> Iterator[tuple]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fenceline.functions import fixed
-from fenceline.operators import detect, features
+from fenceline.operators import detect, features, subgraphs
 
 WORDS = "eor xor ldrb movb movzbl lsl shl sal ldr mov clflush dc civac mfence dsb [ ] ], , str cmp test $4 #1 jae jbe ja b.hs b.ls and bic isb lea adrp rdtsc mrs cntvct lfence call callq bl ret retq sp foo x0".split()
 
@@ -46,3 +46,12 @@ def test_signatures_meet_each_list_once(spark):
     assert sorted(map(tuple, found.collect())) == [(1, i, round(len(one & s) / len(one | s), 6)) for i, s in ((7, seven), (8, eight))]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [id#") == 2  # of lists and of pairs, none of a row a gram
+
+
+def test_windows_come_in_slices():
+    edges = [{"src": a, "dst": b} for a in range(8) for b in (a + 1, a + 2)]
+    batch = pa.record_batch([pa.array([str(i) for i in range(1000)]), pa.array([edges] * 999 + [[]])], ["seq", "e"])
+    out = list(subgraphs._sliced(subgraphs._paths, ["start", "node", "dist"])([batch, batch.slice(0, 0)]))
+    each = list(subgraphs._paths([(e["src"], e["dst"]) for e in edges]))
+    assert each and all(len(set(b.column("seq").to_pylist())) <= subgraphs.SLICE for b in out)
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(str(i), *p) for i in range(999) for p in each]
