@@ -6,6 +6,8 @@ in all columns are separate rows. Everything is window frames, aggregates and te
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +108,18 @@ def discriminative(rows: DataFrame) -> DataFrame:
         for group, patterns in (("r", required), ("s", supporting), ("a", against)):
             for p, pattern in enumerate(patterns):
                 names.append((f"{group}{k}{p}", pattern))
-    marked = marked.select("*", *(F.lower("line").rlike(p).cast("int").alias(n) for n, p in names))
+    if len(names) > 63:
+        raise ValueError("more patterns than a number has bits")
+    at = {n: k for k, (n, _) in enumerate(names)}
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.lower("line").rlike(p), F.lit(1 << at[n]).cast("long")).otherwise(F.lit(0).cast("long")) for n, p in names))
+    marked = marked.select("seq", "pos", "total", bits.alias("bits"))  # a line's flags are one number, so that sorts and frames hold little
     out = None
     for size in (25, 35, 50):
         frame = own.rowsBetween(0, size - 1)
-        seen = marked.select("seq", "pos", "total", *(F.max(n).over(frame).alias(n) for n, _ in names)).where((F.col("pos") % 10 == 0) & (F.col("pos") + size <= F.col("total")))
+        seen = marked.select("seq", "pos", "total", F.bit_or("bits").over(frame).alias("bits")).where((F.col("pos") % 10 == 0) & (F.col("pos") + size <= F.col("total")))
         each = []
         for k, (name, required, supporting, against, least) in enumerate(DISCRIMINATIVE):
-            count = lambda g, patterns, k=k: sum((F.col(f"{g}{k}{p}") for p in range(len(patterns))), F.lit(0))
+            count = lambda g, patterns, k=k: sum((F.getbit("bits", F.lit(at[f"{g}{k}{p}"])).cast("int") for p in range(len(patterns))), F.lit(0))
             score = count("r", required) + count("s", supporting) * 0.5 - count("a", against) * 2
             each.append(F.struct(F.lit(name).alias("kind"), score.cast("double").alias("score"), F.lit(least).alias("least")))
         part = seen.select("seq", F.col("pos").alias("lo"), F.lit(size).alias("size"), F.explode(F.array(*each)).alias("w")).select("seq", "lo", "size", "w.kind", "w.score", "w.least").where("score >= least").drop("least")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fenceline.functions import fixed
-from fenceline.operators import detect, features, subgraphs
+from fenceline.operators import detect, features, selection, subgraphs
 
 WORDS = "eor xor ldrb movb movzbl lsl shl sal ldr mov clflush dc civac mfence dsb [ ] ], , str cmp test $4 #1 jae jbe ja b.hs b.ls and bic isb lea adrp rdtsc mrs cntvct lfence call callq bl ret retq sp foo x0".split()
 
@@ -55,3 +55,10 @@ def test_windows_come_in_slices():
     each = list(subgraphs._paths([(e["src"], e["dst"]) for e in edges]))
     assert each and all(len(set(b.column("seq").to_pylist())) <= subgraphs.SLICE for b in out)
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(str(i), *p) for i in range(999) for p in each]
+
+
+def test_flags_of_a_line_are_one_number(spark):
+    rows = spark.createDataFrame([(1, p, "ldr x0, [x1]") for p in range(60)], "seq long, pos long, line string")
+    plan = selection.discriminative(rows)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [line for line in plan.split("\n") if "currentrow$()" in line]
+    assert len(frames) == 3 and all(line.count("windowspecdefinition") == 1 for line in frames)
