@@ -135,3 +135,20 @@ def test_windows_over_blocks_are_whole(spark):
     for block in (4, 64):
         got = {(r["seq"], r["lo"], r["size"]): [x["pos"] for x in r["w"]] for r in rules.windows(df, (3, 20), block).collect()}
         assert got == {(s, lo, size): list(range(lo, lo + size)) for s, n in ((2, 3), (3, 130)) for size in (3, 20) for lo in range(n - size + 1)}
+
+
+def test_windows_of_numbers_need_no_lists_and_tokens_may_span_lines(spark):
+    rows = spark.createDataFrame([(2, i, line) for i, line in enumerate(["dsb", "sy x0", "ldr x1, [x0]", "dsb sy", "ret"])], "seq int, pos int, line string")
+    text = '{"vulnerabilities": {"A": {"anti_patterns": [{"token": "DSB sy"}]}, "B": {"constraints": {"min_memory_ops": 1}}}}'
+    found = rules.windows(rules.tagged(rows), (2, 3), document=text)
+    got = {(r["lo"], r["size"], r["type"]): r["reason"] for r in rules.validated(found, text).collect()}
+    assert {k[:2] for k, v in got.items() if k[2] == "A" and v} == {(0, 2), (2, 2), (3, 2), (0, 3), (1, 3), (2, 3)}
+    plain = rules.validated(found.select("seq", "arch", "lo", "size", "w"), text)  # marks from the lists of lines
+    assert {(r["lo"], r["size"], r["type"]): r["reason"] for r in plain.collect()} == got
+    kept = rules.minimal(found, text).collect()
+    assert {(r["lo"], r["size"], r["left"], r["right"]) for r in kept if r["type"] == "B"} == {(1, 2, 1, 2), (2, 2, 0, 1), (0, 3, 2, 3), (1, 3, 1, 2), (2, 3, 0, 1)}
+    for query in ("rule_failures", "rule_minimal"):
+        plan = catalog.QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "ExistingRDD" not in plan  # no lists of lines, no windows written
+    with pytest.raises(ValueError):
+        rules.windows(rules.tagged(rows), (64,))
