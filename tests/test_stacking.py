@@ -100,3 +100,21 @@ def test_windows_are_cut_from_anchors_only(spark):
     for size, step in ((5, 2), (3, 7), (4, 4)):
         cut = {(r["seq"], r["lo"]): list(r["ops"]) for r in patterns.cut_windows(rows, size, step).collect()}
         assert cut == {(s, lo): own[lo : lo + size] for s, own in lists.items() for lo in range(0, len(own) - size + 1, step)}
+
+
+def test_fits_and_scores_read_rows_made_once(spark):
+    plans = []
+
+    class Watches(Remembers):
+        def fit(self, rows):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(rows)
+
+        def transform(self, rows):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super().transform(rows)
+
+    rows = stacking.text_rows(spark, SF)
+    assert "words" not in rows.columns  # nor are whole texts carried along
+    stacking.first_level(stacking.folded(rows), {"a": Watches})
+    assert len(plans) == 8 and all("parquet" not in p and "regexp" not in p for p in plans)
