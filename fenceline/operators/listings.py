@@ -14,6 +14,7 @@ from fenceline.operators import graph
 from fenceline.operators.features import KEY, sigmoid
 from fenceline.operators.subgraphs import per_window
 from fenceline.plans.assembly_analog import CODE, LISTING, WINDOWS, code, code_windows, listing, windows, windows_sql
+from fenceline.plans.steps import settled
 
 NODE_LIMIT, EDGE_LIMIT = 64, 512
 
@@ -52,6 +53,7 @@ def graph_nodes(lines: DataFrame) -> DataFrame:
 def graph_edges(rows: DataFrame) -> DataFrame:
     """(seq, src, dst, type, weight, reg): all eight kinds of edges of ``graph_nodes``; a data or memory edge for each register."""
     c, kind = F.col, F.col("category")
+    rows = settled(rows.select("seq", "pos", "category", "dest", "src", "flags"))  # read by nine branches; its columns are some thirty patterns a line
     uses = rows.select("seq", "pos", F.explode("src").alias("reg"))
     data = graph.last_defs(rows.select("seq", "pos", F.explode("dest").alias("reg")), uses, 3)
     bases = rows.where(kind.isin("LOAD", "STORE")).select("seq", "pos", "category", F.explode(F.when(F.size("src") == 0, F.array(F.lit("_mem_"))).otherwise(c("src"))).alias("reg"))

@@ -62,3 +62,11 @@ def test_flags_of_a_line_are_one_number(spark):
     plan = selection.discriminative(rows)._jdf.queryExecution().optimizedPlan().toString()
     frames = [line for line in plan.split("\n") if "currentrow$()" in line]
     assert len(frames) == 3 and all(line.count("windowspecdefinition") == 1 for line in frames)
+
+
+def test_graph_edges_read_node_columns_made_once(spark):
+    from fenceline.operators import listings
+    from fenceline.plans.assembly_analog import code_windows
+
+    plan = listings.graph_edges(listings.graph_nodes(code_windows(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "RLIKE" not in plan  # not the lines' patterns again in each kind of edge
