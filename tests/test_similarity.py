@@ -152,3 +152,17 @@ def test_window_clusters(spark):
     lists = {k: [*ops, *("::".join(ops[i : i + 2]) for i in range(len(ops) - 1))] for k, ops in shapes.items()}
     got = catalog.QUERIES["gadget_clusters"](spark, SF).collect()
     assert sorted(((r["seq"], r["lo"]), (r["m_seq"], r["m_lo"])) for r in got) == sorted(plain_clusters(lists, 0.7))
+
+
+def test_alignment_without_subsequences_and_flags_by_one_number(spark):
+    from fenceline.functions import nodes
+
+    rng = random.Random(9)
+    lists = [([rng.choice("abcdef") for _ in range(rng.randint(0, 30))], [rng.choice("abcdef") for _ in range(rng.randint(0, 30))]) for _ in range(300)]
+    got = alignment.aligned(spark.createDataFrame(lists, "x array<string>, y array<string>"), common=False)
+    assert got.columns == ["x", "y", "alignment"]
+    assert all(abs(r["alignment"] - SequenceMatcher(None, r["x"], r["y"]).ratio()) < 1e-12 for r in got.collect())
+    rows = spark.createDataFrame([("jne", "x", "x86_64"), ("jmp", "[rax]", "x86_64"), ("call", "%rax", "x86_64"), ("b.eq", "x", None), ("mrs", "x", "arm64"), (None, None, "x86_64")], "op string, rest string, arch string")
+    flags = nodes.semantics(F.col("op"), F.col("rest"), F.col("arch"))
+    said = [{n for n in nodes.SEMANTICS if r["f"][n]} for r in rows.select(flags.alias("f")).collect()]
+    assert said == [{"is_branch", "is_conditional"}, {"is_branch", "is_indirect"}, {"is_call", "is_indirect"}, {"is_branch", "is_conditional"}, {"is_timing_sensitive", "is_privileged"}, set()]
