@@ -91,3 +91,7 @@ def test_score_vectors_bound_every_score_and_the_grid_loses_no_pair(spark, monke
             monkeypatch.setattr(bounds, name, size)
         got = [tuple(r) for r in bounds.candidates(vectors, 0.35, len(own), sum(n % 1000 == 0 for n in own)).collect()]
         assert len(got) == len(set(got)) and near <= set(got) and all(a == b or products[a, b] >= 0.3498 for a, b in got)
+
+
+def test_ranked_of_no_windows_is_empty(spark):
+    assert similarity.ranked(frame(spark, lists(0)).where("false")).count() == 0
