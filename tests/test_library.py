@@ -3,10 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from fenceline.functions.nodes import SEMANTIC_TYPES
-from fenceline.operators import library, similarity
+from fenceline.operators import alignment, library, similarity
 
 from .test_similarity import longest
 
@@ -89,3 +90,17 @@ def test_best_of_the_library_by_window(windows):
         if seq % 2 == s % 2:
             want[seq, lo] = max(want.get((seq, lo), 0), m["opcodes"])
     assert {(r["seq"], r["lo"]): r["bonus"] for r in similarity.bonuses(similarity.measured(windows, "opcodes")).collect()} == {k: round(x * 0.2, 6) for k, x in want.items()}
+
+
+def test_blocks_and_subsequences_by_words_equal_those_by_matrices():
+    rng = np.random.default_rng(2)
+    for kinds, n, m in ((1, 5, 64), (2, 40, 40), (6, 70, 64), (45, 30, 30)):
+        x, y = rng.integers(0, kinds, (200, n)), rng.integers(0, kinds, (200, m))
+        nx, ny = rng.integers(0, n + 1, 200), rng.integers(0, m + 1, 200)
+        x[np.arange(n) >= nx[:, None]], y[np.arange(m) >= ny[:, None]] = -1, -2
+        rows = alignment.masks(x, y)
+        assert (alignment.mask_blocks(rows, nx, ny) == alignment.block_sizes(x, y, nx, ny)).all() and (alignment.mask_lcs(rows) == alignment.lcs_lengths(x, y)).all()
+        ratio, common = alignment.measured_codes(x, y, nx, ny)
+        for k in range(200):
+            a, b = x[k, : nx[k]].tolist(), y[k, : ny[k]].tolist()
+            assert ratio[k] == SequenceMatcher(None, a, b).ratio() and common[k] == longest(a, b) / max(len(a), len(b), 1)
