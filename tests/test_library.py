@@ -5,9 +5,10 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fenceline.functions.nodes import SEMANTIC_TYPES
-from fenceline.operators import alignment, library, similarity
+from fenceline.operators import alignment, clusters, library, similarity
 
 from .test_similarity import longest
 
@@ -104,3 +105,19 @@ def test_blocks_and_subsequences_by_words_equal_those_by_matrices():
         for k in range(200):
             a, b = x[k, : nx[k]].tolist(), y[k, : ny[k]].tolist()
             assert ratio[k] == SequenceMatcher(None, a, b).ratio() and common[k] == longest(a, b) / max(len(a), len(b), 1)
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+def test_close_signatures_meet_the_library_only(windows, monkeypatch, sizes):
+    for name, size in sizes.items():
+        monkeypatch.setattr(library, name, size)
+    monkeypatch.setattr(clusters, "candidates", None)  # all pairs of windows
+    rows = windows.unionByName(windows.where("seq = 20 AND lo = 0").selectExpr("CAST(NULL AS long) AS seq", "30L AS lo", *windows.columns[2:])).persist()
+    for least in (0.3, 0.5, 0.9):
+        want = {(r["seq"], r["lo"], r["s_seq"]): r["cosine"] for r in similarity.dots(rows).where(F.col("cosine") >= least).collect()}
+        found = similarity.close(rows, least)
+        got = found.collect()
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert len(got) == len(want) > 12 and {(r["seq"], r["lo"], r["s_seq"]): r["cosine"] for r in got} == want
+        assert (None, 30, 20) in want and (20, 0, 20) not in want
+    assert similarity.close(rows.where("false")).count() == 0 == similarity.close(rows.where("seq = 21")).count()
